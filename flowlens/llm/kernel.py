@@ -158,3 +158,29 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
+
+
+class Memo:
+    """A worker's map from hashes to numbers, forgotten when it holds more than limit."""
+
+    def __init__(self, limit: int):
+        self.limit, self.keys, self.values = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def get(self, keys: np.ndarray, fresh) -> np.ndarray:
+        """Values of sorted distinct keys; fresh(indexes) gives those of keys not yet known."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        out = np.zeros(len(keys), np.int64)
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = fresh(new)
+            if len(self.keys) > self.limit:
+                self.keys, self.values = keys[new], out[new]
+            else:
+                both = np.concatenate([self.keys, keys[new]])
+                order = np.argsort(both, kind="stable")
+                self.keys, self.values = both[order], np.concatenate([self.values, out[new]])[order]
+        return out
