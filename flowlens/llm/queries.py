@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, wordpiece
+from . import decontam, quality, substr, tokenbin, wordpiece
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digest(tokenbin.encode_corpus(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(_read(spark, sf_dir, "documents")))
 
@@ -24,9 +28,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_read(spark, sf_dir, "documents"), wordpiece.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.digest(substr.dedup(_read(spark, sf_dir, "documents"), keep_text=False))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.ORACLE}
+    return {"op1_decontaminate": decontam.ORACLE, "op10_substring_dedup": substr.ORACLE}
