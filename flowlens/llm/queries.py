@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, substr, tokenbin, wordpiece
+from . import chat, decontam, mixing, neardup, quality, substr, tokenbin, urlrep, wordpiece
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(tokenbin.encode_corpus(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -24,6 +28,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(_read(spark, sf_dir, "documents")))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_read(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrep.digest(urlrep.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_turns(chat.from_rows(chat.with_probe(_read(spark, sf_dir, "conversations")))))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_read(spark, sf_dir, "documents"), wordpiece.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -37,4 +53,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.ORACLE, "op10_substring_dedup": substr.ORACLE}
+    return {"op1_decontaminate": decontam.ORACLE, "op3_mix_sources": mixing.ORACLE, "op7_url_filter": urlrep.ORACLE, "op8_chat_format": chat.ORACLE, "op10_substring_dedup": substr.ORACLE}
