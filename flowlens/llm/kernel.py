@@ -161,26 +161,40 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """A worker's map from hashes to numbers, forgotten when it holds more than limit."""
+    """A worker's map from hashes to numbers, forgotten when it holds more than limit.
+
+    It has a large and a small run of sorted keys; the small one is merged into the large one when it has an eighth of it.
+    """
 
     def __init__(self, limit: int):
-        self.limit, self.keys, self.values = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.large = self.small = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    @staticmethod
+    def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
     def get(self, keys: np.ndarray, fresh) -> np.ndarray:
         """Values of sorted distinct keys; fresh(indexes) gives those of keys not yet known."""
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        out = np.zeros(len(keys), np.int64)
-        out[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            out[new] = fresh(new)
-            if len(self.keys) > self.limit:
-                self.keys, self.values = keys[new], out[new]
-            else:
-                both = np.concatenate([self.keys, keys[new]])
-                order = np.argsort(both, kind="stable")
-                self.keys, self.values = both[order], np.concatenate([self.values, out[new]])[order]
+        if len(self) > self.limit:
+            self.clear()
+        out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for held, values in (self.large, self.small):
+            if len(held) and len(left):
+                at = np.minimum(np.searchsorted(held, keys[left]), len(held) - 1)
+                hit = held[at] == keys[left]
+                out[left[hit]] = values[at[hit]]
+                left = left[~hit]
+        if len(left):
+            out[left] = fresh(left)
+            self.small = self._merge(self.small, (keys[left], out[left]))
+            if 8 * len(self.small[0]) > len(self.large[0]):
+                self.large, self.small = self._merge(self.large, self.small), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         return out

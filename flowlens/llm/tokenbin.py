@@ -4,7 +4,8 @@ Encoding. Texts are dealt out by ranges of doc_id, so each task writes one
 shard of consecutive documents. A text is tokenised by the tokenizers library.
 A pre-token never holds white space after another character, so a text may be
 cut before each run of white space and the parts' ids put together; each
-different part is encoded once for each task. ``END`` closes every document.
+different part is encoded once by a worker, which keeps what it knows from task
+to task. ``END`` closes every document.
 
 A shard file, all little-endian:
 
@@ -227,8 +228,7 @@ class PartEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.sizes[k] = len(token) if all(c in alphabet for c in token) else len(token.encode())
-        self.memo, self.pool, self.pooled = K.Memo(MEMO), [], 0
-        self.joined = np.zeros(0, np.uint32)
+        self.memo, self.pool, self.pooled = K.Memo(MEMO), np.zeros(1 << 20, np.uint32), 0
 
     def _plain(self, texts_: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
@@ -263,7 +263,7 @@ class PartEncoder:
         doubt = total[ends] > total[begins]
         joint = _SPACE[raw[begins]] & ~_SPACE[raw[ends - 1]] & ~self._odd(raw, ends) & ~doubt
         own = np.zeros(len(begins), np.int64)
-        pool: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         rows = np.flatnonzero(joint)
         if len(rows):
             sizes = (ends - begins)[rows]
@@ -277,18 +277,21 @@ class PartEncoder:
             last = np.searchsorted(reached, stops)
             if len(reached) and reached[-1] == stops[-1] and np.array_equal(reached[last], stops):
                 own[rows] = np.diff(last, prepend=-1)
-                pool.append(ids)
+                parts.append(ids)
             else:  # invalid UTF-8
                 joint[:] = False
         rows_alone = np.flatnonzero(~joint)
         got = self._plain([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begins[rows_alone].tolist(), ends[rows_alone].tolist(), strict=True)])
         own[rows_alone] = [len(x) for x in got]
-        pool.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, sum(map(len, got))))
+        parts.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, sum(map(len, got))))
         order = np.concatenate([np.flatnonzero(joint), rows_alone])
         places = np.empty(len(begins), np.int64)
         places[order] = self.pooled + np.cumsum(own[order]) - own[order]
-        self.pool += pool
-        self.pooled += int(own.sum())
+        for ids in parts:
+            if self.pooled + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.pooled], np.zeros(max(len(ids), self.pooled), np.uint32)])
+            self.pool[self.pooled : self.pooled + len(ids)] = ids
+            self.pooled += len(ids)
         return places << 24 | own
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,18 +303,15 @@ class PartEncoder:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
         ends = np.append(begins[1:], len(raw))
-        if len(self.memo.keys) > self.memo.limit:
-            self.memo, self.pool, self.pooled = K.Memo(MEMO), [], 0
+        if len(self.memo) > self.memo.limit:
+            self.memo.clear()
+            self.pooled = 0
         w = K.Words(raw, offs, _SPACE)  # for its hashes of ranges
         keys, at, inverse = np.unique(w.ranges(begins, ends), return_index=True, return_inverse=True)
-        before = self.pooled
         place = self.memo.get(keys, lambda new: self._fresh(raw, begins[at[new]], ends[at[new]]))[inverse]
-        if self.pooled > before or len(self.joined) != self.pooled:
-            self.joined = np.concatenate(self.pool)
-            self.pool = [self.joined]
         size, place = place & 0xFFFFFF, place >> 24
         shift = np.cumsum(size) - size
-        ids = self.joined[np.repeat(place - shift, size) + np.arange(int(size.sum()))]
+        ids = self.pool[np.repeat(place - shift, size) + np.arange(int(size.sum()))]
         doc = np.searchsorted(offs, begins, "right") - 1
         return ids, np.bincount(doc, size, len(offs) - 1).astype(np.int64)
 
@@ -327,7 +327,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> list[
                 continue
             if writer is None:
                 files.create_dir(base, recursive=True)
-                out, encoder = files.open_output_stream(name), PartEncoder(tokenizer)
+                out, encoder = files.open_output_stream(name), K.store().get(("parts", tokenizer)) or PartEncoder(tokenizer)
+                K.store()["parts", tokenizer] = encoder
                 writer = ShardWriter(out)
             nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
