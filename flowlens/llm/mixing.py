@@ -27,6 +27,8 @@ from .common import cut
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 ROWS_PER_RANGE = 1000
+#: Rows, of a name and three numbers, that may be broadcast.
+SMALL = 50_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -73,17 +75,22 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.withColumn("met", met).select("source", "source_size", "n", F.least("most", F.coalesce(F.col("met") * F.col("w"), F.col("most"))).alias("target"))
 
 
+def _light(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows. Otherwise rows would be dealt out by source, before AQE could see how few these are."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def mix(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """rows with source_size, target, epochs, taken."""
     held = rows.withColumn("s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")))
-    goal = goals.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")).alias("s"), "source_size", "n", "target")
-    held = held.join(goal, "s")
+    goal = cut(goals.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")).alias("s"), "source_size", "n", "target"))
+    held = held.join(_light(goal), "s")
     # 1 - exp(-e) is uniform for documents of weight 1 and rises with e for all.
     ranges = F.ceil(F.col("n") / ROWS_PER_RANGE)
     held = held.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("e"))) * ranges), ranges - 1).cast("long")).drop("n")
-    sums = held.groupBy("s", "range").agg(F.sum("size").alias("in_range"))
+    sums = cut(held.groupBy("s", "range").agg(F.sum("size").alias("in_range")))
     before = F.coalesce(F.sum("in_range").over(Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.join(sums.select("s", "range", before.alias("before")), ["s", "range"])
+    held = held.join(_light(cut(sums.select("s", "range", before.alias("before")))), ["s", "range"])
     inside = Window.partitionBy("s", "range").orderBy("e", "doc_id", "size", "a", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     held = held.withColumn("upto", F.col("before") + F.sum("size").over(inside)).withColumn("epochs", epochs)
