@@ -15,13 +15,14 @@ components of links.
    so most runs cost one draw; a document with an empty register goes on.
 2. Equal multisets are merged into a node by a 128-bit hash of the multiset, so
    copies never meet in pairs.
-3. Bands of registers give buckets. Each bucket has a leader, found by a
-   partial aggregate; members are paired with it, which no bucket's size can
-   make quadratic, and each pair is verified on the texts' whole multisets. A
-   skewed leader is split by AQE, as contents are distinct.
-4. Links make classes by alternating large-star and small-star steps. Buckets
-   that still hold several classes elect new leaders and are verified again,
-   until a round finds no more links.
+3. Bands of registers give buckets. Each bucket has a leader, the member that
+   meets most others in its buckets; members are paired with it, which no bucket's
+   size can make quadratic, and each pair is verified on the texts' whole multisets. A
+   skewed leader is split by AQE, as contents are distinct. Pairs whose registers
+   agree far too seldom aren't compared further.
+4. Links make classes, by alternating large-star and small-star steps where there are many. In buckets
+   that still hold several classes, classes lead and are verified against the
+   others in the same way, round by round, until a round finds no link.
 
 Texts without a normalised word are linked to equal texts only, and empty, blank
 or null texts to none. Equal rows are of one class. A class's id is the least
@@ -40,7 +41,9 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import cut, texts
 
-WORDS, REGISTERS, ROWS = 5, 64, 4
+WORDS, REGISTERS, ROWS = 5, 100, 5
+#: Rows (of two or three 16-byte names) that are broadcast, or that one task may join to components. Beyond, joins shuffle and components are found in star steps.
+SMALL = 20_000
 
 
 # --- multisets and signatures ----------------------------------------------------
@@ -130,6 +133,7 @@ def _sign(size: int, registers: int, rows: int):
                     np.cumsum(K.mix(g ^ np.uint64(salt)) * weight.astype(np.uint64), out=total[1:])
                     sums.append(K.mix(total[bounds[1:]] - total[bounds[:-1]]))
                 sig = signatures(doc, g, weight, j - i, registers).view(np.uint64).reshape(j - i, registers // rows, rows)
+                short = (K.mix(sig) >> np.uint64(48)).astype("<u2").reshape(j - i, registers)
                 band = np.zeros(sig.shape[:2], np.uint64)
                 for k in range(rows):
                     band = K.mix(band * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, k])
@@ -138,7 +142,7 @@ def _sign(size: int, registers: int, rows: int):
                     if w.counts[d]:
                         nodes[i + d] = sums[0][d].tobytes() + sums[1][d].tobytes()
                         bands[i + d] = band[d].view(np.int64)
-                        blobs[i + d] = np.int64(len(text)).tobytes() + pa.compress(text, "zstd", asbytes=True)
+                        blobs[i + d] = np.int64(len(text)).tobytes() + short[d].tobytes() + pa.compress(text, "zstd", asbytes=True)
                     elif text.strip(b"\x00\t\n\x0b\x0c\r "):
                         key = K.Words(raw[offs[d] : offs[d + 1]], np.array([0, len(text)]), np.ones(256, bool)).hash
                         nodes[i + d] = key[0].tobytes() + K.mix(key ^ np.uint64(len(text)))[0].tobytes()
@@ -150,24 +154,27 @@ def _sign(size: int, registers: int, rows: int):
     return run
 
 
-def _verify(size: int, threshold: float):
+def _verify(size: int, threshold: float, registers: int = REGISTERS):
+    """Compares multisets, of pairs whose registers agree as often as those of similar documents do: five standard deviations below is one in a million."""
+    least, body = registers * threshold - 5 * math.sqrt(registers * threshold * (1 - threshold)), 8 + 2 * registers
+
     def multiset(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(pa.decompress(blob[8:], int(np.frombuffer(blob[:8], "<i8")[0]), "zstd", asbytes=True), np.uint8)
+        raw = np.frombuffer(pa.decompress(blob[body:], int(np.frombuffer(blob[:8], "<i8")[0]), "zstd", asbytes=True), np.uint8)
         _, g = runs(K.Words(K.FOLD[raw], np.array([0, len(raw)]), K.ALNUM), size)
         return np.unique(g, return_counts=True)
 
     def run(batches):
         last, mine = None, None
         for batch in batches:
-            u, v = [], []
-            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
-                name = a.as_py()
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (a, x, y) in enumerate(zip(*(batch.column(c) for c in (0, 2, 3)), strict=True)):
+                name, x, y = a.as_py(), x.as_py(), y.as_py()
+                if np.count_nonzero(np.frombuffer(x[8:body], "<u2") == np.frombuffer(y[8:body], "<u2")) < least:
+                    continue
                 if name != last:
-                    last, mine = name, multiset(x.as_py())
-                if similarity(mine, multiset(y.as_py())) >= threshold:
-                    u.append(name)
-                    v.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+                    last, mine = name, multiset(x)
+                keep[k] = similarity(mine, multiset(y)) >= threshold
+            yield batch.filter(pa.array(keep)).select([c for c in batch.schema.names if c not in ("x", "y")])
 
     return run
 
@@ -175,34 +182,49 @@ def _verify(size: int, threshold: float):
 # --- classes ----------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of each node's component, for links (u, v)."""
+def _union_find(batches):
+    boss: dict[bytes, bytes] = {}
+
+    def top(x):
+        while (y := boss.setdefault(x, x)) != x:
+            boss[x] = x = boss[y]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            boss[max(u, v)] = min(u, v)
+    if names := list(boss):
+        kind = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([top(x) for x in names], kind)], ["node", "label"])
+
+
+def components(links: DataFrame, small: int = SMALL) -> DataFrame:
+    """node, label: the least node of each node's component, for links (u, v). Up to small links are joined by one task, more by large-star and small-star steps."""
+    edges, before = links.select("u", "v").where("u <> v"), None
+    if edges.count() <= small:
+        kind = edges.schema["u"].dataType.simpleString()
+        return cut(edges.repartition(1).mapInArrow(_union_find, f"node {kind}, label {kind}"))
 
     def least(edges: DataFrame) -> DataFrame:
         return edges.groupBy("u").agg(F.min("v").alias("m"))
 
-    edges, before = links.select("u", "v").where("u <> v"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = least(both).select("u", F.least("m", "u").alias("m"))
         large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = down.join(least(down), "u").select(F.col("v").alias("x"), "u", "m")
-        edges = cut(small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
+        small_ = down.join(least(down), "u").select(F.col("v").alias("x"), "u", "m")
+        edges = cut(small_.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         before = state
 
 
-def _pairs(buckets: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """(u, v): of each bucket, the leader and a member of each other class."""
-    seen = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mark = lambda *c: F.xxhash64(F.lit(seed), *c)
-    if labels is not None:
-        seen = seen.groupBy("bucket", "label").agg(F.min(F.struct(mark("bucket", "node").alias("h"), "node")).alias("s")).select("bucket", "label", "s.node")
-    lead = seen.groupBy("bucket").agg(F.min(F.struct(mark("label").alias("h"), "label", "node")).alias("s"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("s.node").alias("u"), F.col("s.label").alias("l"))
-    return seen.join(lead, "bucket").where("label <> l").select("u", F.col("node").alias("v")).distinct()
+def _light(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
@@ -212,29 +234,55 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", regi
     return cut(read.mapInArrow(_sign(WORDS, registers, rows), "doc_id long, a long, b long, node binary, bands array<long>, blob binary"))
 
 
-def link(rows: DataFrame, threshold: float = 0.8) -> DataFrame | None:
-    """node, label of the nodes that have a link, for signed rows; None if none has."""
+def _linked(pairs: DataFrame, rows: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """Of pairs (u, v) of nodes, and other columns, those whose multisets are similar enough; checkpointed."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    content = cut(rows.select("node", "blob").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")))
+    held = pairs.join(content.select(F.col("node").alias("v"), F.col("blob").alias("y")), "v")
+    held = held.join(content.select(F.col("node").alias("u"), F.col("blob").alias("x")), "u")
+    rest = [c for c in pairs.columns if c not in ("u", "v")]
+    held = held.select("u", "v", "x", "y", *rest)
+    return cut(held.mapInArrow(_verify(WORDS, threshold, registers), held.drop("x", "y").schema))
+
+
+def link(rows: DataFrame, threshold: float = 0.8, registers: int = REGISTERS) -> DataFrame | None:
+    """node, label of the nodes that have a link, for signed rows; None if none has.
+
+    A node's rank is the number of nodes that it meets in its buckets: what many
+    texts were made from meets them all. First, each bucket's nodes are paired with
+    the one of highest rank. Then classes stand for their nodes, by the highest in
+    each bucket: the leading class meets all others of its bucket and then leaves
+    it, until a round links no more.
+    """
     nodes = rows.where("blob IS NOT NULL").select("node", "bands").dropDuplicates(["node"])
     buckets = nodes.select("node", F.posexplode("bands").alias("k", "h")).select("node", F.xxhash64("k", "h").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = cut(buckets.join(shared, "bucket"))
-    labels, tested, links, seed = None, None, None, 0
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(buckets.join(sizes, "bucket"))
+    ranks = shared.groupBy("node").agg(F.sum("n").alias("rank"))
+    shared = cut(shared.join(ranks, "node").select("bucket", "node", "rank"))
+    best = F.max(F.struct("rank", F.xxhash64("node").alias("h"), "node")).alias("s")
+    lead = shared.groupBy("bucket").agg(best).select("bucket", F.col("s.node").alias("u"))
+    found = _linked(shared.join(lead, "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct(), rows, threshold, registers)
+    if found.isEmpty():
+        return None
+    labels = components(found)
+    named = shared.join(labels, "node", "left").select("bucket", "node", "rank", F.coalesce("label", "node").alias("class"))
     while True:
-        pairs = _pairs(buckets, labels, seed)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return labels
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        content = cut(rows.select("node", "blob").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")))
-        held = pairs.join(content.select(F.col("node").alias("v"), F.col("blob").alias("y")), "v").join(content.select(F.col("node").alias("u"), F.col("blob").alias("x")), "u")
-        found = cut(held.select("u", "v", "x", "y").mapInArrow(_verify(WORDS, threshold), "u binary, v binary"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        per = cut(named.groupBy("bucket", "class").agg(best).select("bucket", "class", "s.node", "s.rank"))
+        first = F.max(F.struct("rank", F.xxhash64("node").alias("h"), "node", "class")).alias("s")
+        lead = per.groupBy("bucket").agg(first, F.count("*").alias("n")).where("n > 1").select("bucket", F.col("s.node").alias("u"), F.col("s.class").alias("cu"))
+        left = cut(per.join(lead, "bucket").where("class <> cu"))
+        pairs = left.select("u", F.col("node").alias("v"), "cu", F.col("class").alias("cv")).distinct()
+        found = _linked(pairs, rows, threshold, registers)
         if found.isEmpty():
             return labels
-        links = found if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found)
-        labels, seed = components(links), seed + 1
+        merged = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+        merged = _light(merged.select(F.col("node").alias("class"), F.col("label").alias("into")), 2 * found.count())
+        moved = labels.select("node", F.col("label").alias("class")).join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("label"))
+        alone = merged.join(labels.select(F.col("node").alias("class")), "class", "left_anti").select(F.col("class").alias("node"), F.col("into").alias("label"))
+        labels = cut(moved.unionByName(alone))
+        named = left.join(merged, "class", "left").select("bucket", "node", "rank", F.coalesce("into", "class").alias("class"))
 
 
 def _with_class(rows: DataFrame, threshold: float) -> DataFrame:
