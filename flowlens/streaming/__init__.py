@@ -1,0 +1,7 @@
+"""Streaming operators. Their functions travel inside tasks."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
