@@ -72,11 +72,9 @@ def _known(paths: Column) -> list[tuple[str, str, Column]]:
 
 
 def _choose(df: DataFrame) -> DataFrame:
-    layout = turns = None
-    for name, how, fits in _known(F.col("paths")):
-        layout = (layout or F).when(fits, F.lit(name)) if layout is not None else F.when(fits, F.lit(name))
-        turns = turns.when(fits, F.expr(how).cast(_TURN)) if turns is not None else F.when(fits, F.expr(how).cast(_TURN))
-    return df.withColumns({"layout": layout, "turns": turns})
+    known = _known(F.col("paths"))
+    first = lambda values: F.coalesce(*(F.when(fits, v) for (_, _, fits), v in zip(known, values, strict=True)))
+    return df.withColumns({"layout": first([F.lit(name) for name, _, _ in known]), "turns": first([F.expr(how).cast(_TURN) for _, how, _ in known])})
 
 
 def canonical(df: DataFrame, conv_id: str, fields: list[str]) -> DataFrame:
