@@ -16,6 +16,16 @@ def _finding(kind: str, subject: Column, confidence: Column, reason: Column) ->
     return F.struct(F.lit(kind).alias("type"), subject.alias("subject"), confidence.cast("double").alias("confidence"), reason.alias("reason"))
 
 
+def entropy_score(bits: Column) -> Column:
+    """Of bits per byte, 0 to 1."""
+    return F.least(F.lit(1.0), bits / 8)
+
+
+def burst_score(pps: Column, threshold: int = BURST_PPS) -> Column:
+    """0 up to the threshold, then half of what is beyond it, 1 at most."""
+    return F.when(pps <= threshold, 0.0).otherwise(F.least(F.lit(1.0), 0.5 * (pps / threshold - 1)))
+
+
 def with_entropy(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumn("entropy", entropy(F.col(payload)))
 

@@ -146,6 +146,11 @@ def sessions(packets: DataFrame, key: tuple[str, ...] = KEY, gap_us: int = 60_00
     return packets.withColumn("session", F.sum(F.when(idle, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
+def sharded(packets: DataFrame, n: int = 32, key: tuple[str, ...] = KEY) -> DataFrame:
+    """packets dealt out by flow, so that operators by key that follow need no other shuffle."""
+    return packets.repartition(n, *key)
+
+
 def lookup(flows: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (src_ip, src_port, dst_ip, dst_port, ip_proto, addresses as bytes) with their flow's columns, null if there is none."""
     return canonical(probes.withColumn("has_icmp", F.col("ip_proto") == 1)).join(flows, list(KEY), "left")

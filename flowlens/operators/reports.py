@@ -94,6 +94,19 @@ def flow_json(flows: DataFrame, n: int = TOP_JSON) -> DataFrame:
     return best.select(F.to_json(F.struct("ip_a", "port_a", "ip_b", "port_b", "ip_proto", F.col("app"), F.coalesce("sni", F.lit("")).alias("sni"), "pkt_count", "byte_count")).alias("json"))
 
 
+def summary_json(judged: DataFrame, flows: DataFrame, n: int = TOP_JSON) -> DataFrame:
+    """One row of JSON: the counters, and the n flows with most bytes."""
+    listed = flow_json(flows, n).agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("flows"))  # n rows at most
+    counters = stats(judged).select(F.to_json(F.struct("*")).alias("stats"))
+    row = counters.withColumn("k", F.lit(1)).join(F.broadcast(listed.withColumn("k", F.lit(1))), "k")  # one row each
+    return row.select(F.concat(F.lit('{"stats":'), "stats", F.lit(',"flows":['), "flows", F.lit("]}")).alias("json"))
+
+
+def export_metrics(judged: DataFrame, path: str) -> None:
+    """Writes metrics() as a JSON file below path."""
+    metrics(judged).coalesce(1).write.mode("overwrite").json(path)
+
+
 def proxy(requests: DataFrame) -> DataFrame:
     """Requests of each host, of parsed requests."""
     return requests.where("r IS NOT NULL").groupBy(F.col("r.host").alias("host")).agg(F.count("*").alias("requests"), F.sum("size").alias("bytes"))

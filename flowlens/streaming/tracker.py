@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,3 +67,17 @@ def sessions(stream: DataFrame, gap: str = "60 seconds", delay: str = "10 second
 def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "1 second") -> DataStreamWriter:
     """Calls sink with each micro-batch: for metrics files and alerts."""
     return stream.writeStream.foreachBatch(sink).trigger(processingTime=every)
+
+
+def observed(stream: DataFrame, name: str = "capture") -> DataFrame:
+    """stream, with packets, bytes and cut-off packets of each micro-batch among its query's progress."""
+    cut_off = F.count_if(F.col("orig_len") > F.col("incl_len"))
+    return stream.observe(name, F.count("*").alias("packets"), F.sum("incl_len").alias("bytes"), cut_off.alias("cut_off"))
+
+
+def replay(read: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], rounds: int, delay: float = 0.0) -> None:
+    """Gives sink the same capture again and again, with its round."""
+    for k in range(rounds):
+        if k and delay:
+            time.sleep(delay)
+        sink(read(), k)
