@@ -230,6 +230,26 @@ def test_reports(judged):
     assert len(reports.flow_json(engine.flows(judged)).collect()) == 14
 
 
+def test_json_and_metrics(judged, tmp_path):
+    import json
+
+    out = json.loads(reports.summary_json(judged, engine.flows(judged)).first().json)
+    assert out["stats"]["blocked"] == 16 and len(out["flows"]) == 14 and {f["app"] for f in out["flows"]} >= {"YouTube", "BitTorrent"}
+    reports.export_metrics(judged, str(tmp_path / "m"))
+    row = json.loads(next((tmp_path / "m").glob("part-*.json")).read_text())
+    assert (row["packets_total"], row["packets_blocked"], row["block_rate"]) == (89, 16, 17.98)
+
+
+def test_flows_are_dealt_out_by_key(judged):
+    shards = flows.sharded(judged, 4).withColumn("shard", F.spark_partition_id())
+    assert shards.groupBy(*flows.KEY).agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_scores(spark):
+    r = spark.createDataFrame([(4.0, 10000, 15000, 99999)], "e double, a int, b int, c int").select(anomaly.entropy_score(F.col("e")), *(anomaly.burst_score(F.col(c)) for c in "abc")).first()
+    assert tuple(r) == (0.5, 0.0, 0.25, 1.0)
+
+
 # --- rules ---
 
 

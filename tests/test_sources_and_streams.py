@@ -102,3 +102,18 @@ def test_sliding_rates_and_sessions(spark, tmp_path):
     seen = []
     tracker.each_batch(load(), lambda df, k: seen.append(df.count())).trigger(availableNow=True).start().awaitTermination(120)
     assert sum(seen) == 89
+
+
+def test_captures_are_observed_and_replayed(spark, tmp_path):
+    (tmp_path / "whole.pcap").write_bytes(T.capture())
+    split_capture(tmp_path, 2)
+    q = tracker.observed(spark.readStream.format("pcap").load(str(tmp_path / "in"))).writeStream.format("noop").start()
+    try:
+        q.processAllAvailable()
+        seen = [p["observedMetrics"]["capture"] for p in q.recentProgress if p["observedMetrics"].get("capture")]
+    finally:
+        q.stop()
+    assert sum(r["packets"] for r in seen) == 89 and all(r["cut_off"] == 0 for r in seen)
+    rounds = []
+    tracker.replay(lambda: spark.read.format("pcap").load(str(tmp_path / "in")), lambda df, k: rounds.append((k, df.count())), 3)
+    assert rounds == [(0, 89), (1, 89), (2, 89)]
