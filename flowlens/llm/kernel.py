@@ -8,12 +8,14 @@ from one running sum so that any range costs one subtraction.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 #: Bytes of words: everything but the ASCII white space 0x20 and 0x09-0x0D.
@@ -64,12 +66,11 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
+    n, wide = len(column), pa.types.is_large_string(column.type)
+    kind = np.dtype(np.int64 if wide else np.int32)
+    offsets = np.frombuffer(column.buffers()[1], kind, n + 1, column.offset * kind.itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
     data = column.buffers()[2]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
@@ -81,6 +82,15 @@ def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    tidy()
+
+
+def tidy() -> None:
+    """Gives back memory that Arrow and the C library hold on to: workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words:

@@ -54,7 +54,7 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 BLOCK_IDS = 1024
 #: Ids that are encoded at once, and parts of texts that a task remembers.
-RUN, MEMO = 1 << 19, 1_500_000
+RUN, MEMO = 1 << 18, 500_000
 
 
 def bit_widths(ids: np.ndarray) -> np.ndarray:
