@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, mixing, neardup, quality, substr, tokenbin, toxicity, urlrep, wordpiece
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +31,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.digest(tokenbin.encode_corpus(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return tokenbin.digest(tokenbin.encode_corpus(_read(spark, sf_dir, "documents"), _vocabulary()))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.count_tokens(_read(spark, sf_dir, "documents"), wordpiece.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    return wordpiece.count_tokens(_read(spark, sf_dir, "documents"), wordpiece.read_vocabulary(_vocabulary()))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
