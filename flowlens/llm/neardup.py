@@ -238,7 +238,8 @@ def _linked(pairs: DataFrame, rows: DataFrame, threshold: float, registers: int)
     """Of pairs (u, v) of nodes, and other columns, those whose multisets are similar enough; checkpointed."""
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    content = cut(rows.select("node", "blob").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")))
+    each = rows.where("blob IS NOT NULL").select("node", "blob").dropDuplicates(["node"])  # copies are merged before they are dealt out
+    content = cut(each.join(wanted, "node", "left_semi"))
     held = pairs.join(content.select(F.col("node").alias("v"), F.col("blob").alias("y")), "v")
     held = held.join(content.select(F.col("node").alias("u"), F.col("blob").alias("x")), "u")
     rest = [c for c in pairs.columns if c not in ("u", "v")]
@@ -295,7 +296,7 @@ def _with_class(rows: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id of each row."""
     rows = _with_class(signed(docs, id_col, text_col), threshold).select("doc_id", "class")
-    ids = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    ids = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id")))  # a table of its own, so AQE can split a class that is joined to it
     return rows.join(ids, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
