@@ -171,9 +171,10 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """A worker's map from hashes to numbers, forgotten when it holds more than limit.
+    """A worker's map from hashes to numbers, of about limit keys.
 
     It has a large and a small run of sorted keys; the small one is merged into the large one when it has an eighth of it.
+    A full map takes no more keys, as the frequent ones come early, and forgets all when it knows few of those asked for.
     """
 
     def __init__(self, limit: int):
@@ -193,8 +194,6 @@ class Memo:
 
     def get(self, keys: np.ndarray, fresh) -> np.ndarray:
         """Values of sorted distinct keys; fresh(indexes) gives those of keys not yet known."""
-        if len(self) > self.limit:
-            self.clear()
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for held, values in (self.large, self.small):
             if len(held) and len(left):
@@ -204,6 +203,10 @@ class Memo:
                 left = left[~hit]
         if len(left):
             out[left] = fresh(left)
+            if len(self) >= self.limit:
+                if 5 * len(left) > 4 * len(keys):
+                    self.clear()
+                return out
             self.small = self._merge(self.small, (keys[left], out[left]))
             if 8 * len(self.small[0]) > len(self.large[0]):
                 self.large, self.small = self._merge(self.large, self.small), (np.zeros(0, np.uint64), np.zeros(0, np.int64))

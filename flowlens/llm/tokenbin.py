@@ -54,7 +54,7 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 BLOCK_IDS = 1024
 #: Ids that are encoded at once, and parts of texts that a task remembers.
-RUN, MEMO = 1 << 18, 500_000
+RUN, MEMO = 1 << 18, 600_000
 
 
 def bit_widths(ids: np.ndarray) -> np.ndarray:
@@ -303,15 +303,15 @@ class PartEncoder:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
         ends = np.append(begins[1:], len(raw))
-        if len(self.memo) > self.memo.limit:
-            self.memo.clear()
-            self.pooled = 0
         w = K.Words(raw, offs, _SPACE)  # for its hashes of ranges
         keys, at, inverse = np.unique(w.ranges(begins, ends), return_index=True, return_inverse=True)
+        known, pooled = len(self.memo), self.pooled
         place = self.memo.get(keys, lambda new: self._fresh(raw, begins[at[new]], ends[at[new]]))[inverse]
         size, place = place & 0xFFFFFF, place >> 24
         shift = np.cumsum(size) - size
         ids = self.pool[np.repeat(place - shift, size) + np.arange(int(size.sum()))]
+        if len(self.memo) <= known:  # nothing was added: what was encoded for this block alone may go
+            self.pooled = pooled if len(self.memo) else 0
         doc = np.searchsorted(offs, begins, "right") - 1
         return ids, np.bincount(doc, size, len(offs) - 1).astype(np.int64)
 
