@@ -268,6 +268,7 @@ def link(rows: DataFrame, threshold: float = 0.8, registers: int = REGISTERS) ->
     if found.isEmpty():
         return None
     labels = components(found)
+    shared = shared.join(lead, "bucket").where("node <> u").drop("u")  # it has met all others, so that the next election is of another
     named = shared.join(labels, "node", "left").select("bucket", "node", "rank", F.coalesce("label", "node").alias("class"))
     while True:
         per = cut(named.groupBy("bucket", "class").agg(best).select("bucket", "class", "s.node", "s.rank"))

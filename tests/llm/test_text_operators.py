@@ -252,6 +252,32 @@ def test_near_duplicate_classes(spark):
     assert neardup.classes(H.documents(spark, [])).count() == 0
 
 
+def near_family(pairs=150, seed=3):
+    """Pairs similar by a little over 0.8, changed in the same places of one text; all share buckets, and others, changed elsewhere, lead them."""
+    rng, table = random.Random(seed), []
+    base = [f"b{k}" for k in range(480)]
+    for k in range(pairs):
+        at = rng.randrange(5, 210), rng.randrange(240, 450)
+        for c in range(2):
+            w = list(base)
+            for p in at:
+                w[p : p + 21] = [f"x{k}y{c}z{p + j}" for j in range(21)]
+            table.append((2 * k + c, " ".join(w)))
+    return table
+
+
+def joined(table, got):
+    """How many pairs of near_family have one class."""
+    at = dict(got)
+    return sum(at[2 * k] == at[2 * k + 1] for k in range(len(table) // 2))
+
+
+def test_a_bucket_elects_another_leader_after_the_first(spark):
+    table = near_family()
+    got = neardup.classes(H.documents(spark, [(*r, "", "", 0) for r in table])).collect()
+    assert joined(table, got) > 100
+
+
 def test_one_row_of_each_class_stays(spark):
     table = near_table()
     docs = H.awkward(spark, [(*r, "", "", 0) for r in table])
