@@ -20,9 +20,10 @@ components of links.
    size can make quadratic, and each pair is verified on the texts' whole multisets. A
    skewed leader is split by AQE, as contents are distinct. Pairs whose registers
    agree far too seldom aren't compared further.
-4. Links make classes, by alternating large-star and small-star steps where there are many. In buckets
-   that still hold several classes, classes lead and are verified against the
-   others in the same way, round by round, until a round finds no link.
+4. Links make classes, by alternating large-star and small-star steps where there are many. Of buckets
+   that still hold several classes, all pairs of nodes of different classes are
+   tested, in blocks of bounded numbers of nodes and bytes; a pair is only left
+   out where other links already join it, so no candidate is lost.
 
 Texts without a normalised word are linked to equal texts only, and empty, blank
 or null texts to none. Equal rows are of one class. A class's id is the least
@@ -42,8 +43,12 @@ from . import kernel as K
 from .common import cut, texts
 
 WORDS, REGISTERS, ROWS = 5, 100, 5
-#: Rows (of two or three 16-byte names) that are broadcast, or that one task may join to components. Beyond, joins shuffle and components are found in star steps.
+#: Links (of two 16-byte names) that one task may join to components. Beyond, components are found in star steps.
 SMALL = 20_000
+#: Nodes, and bytes of their compressed texts, in a part of a bucket; two parts make a block.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Bytes of multisets that a block keeps parsed.
+PARSED = 64 << 20
 
 
 # --- multisets and signatures ----------------------------------------------------
@@ -154,14 +159,20 @@ def _sign(size: int, registers: int, rows: int):
     return run
 
 
-def _verify(size: int, threshold: float, registers: int = REGISTERS):
-    """Compares multisets, of pairs whose registers agree as often as those of similar documents do: five standard deviations below is one in a million."""
-    least, body = registers * threshold - 5 * math.sqrt(registers * threshold * (1 - threshold)), 8 + 2 * registers
+def _least(threshold: float, registers: int) -> float:
+    """Registers in which similar documents agree: five standard deviations below is one in a million."""
+    return registers * threshold - 5 * math.sqrt(registers * threshold * (1 - threshold))
+
+
+def _multiset(blob: bytes, size: int, body: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[body:], int(np.frombuffer(blob[:8], "<i8")[0]), "zstd", asbytes=True), np.uint8)
+    _, g = runs(K.Words(K.FOLD[raw], np.array([0, len(raw)]), K.ALNUM), size)
+    return np.unique(g, return_counts=True)
 
-    def multiset(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(pa.decompress(blob[body:], int(np.frombuffer(blob[:8], "<i8")[0]), "zstd", asbytes=True), np.uint8)
-        _, g = runs(K.Words(K.FOLD[raw], np.array([0, len(raw)]), K.ALNUM), size)
-        return np.unique(g, return_counts=True)
+
+def _verify(size: int, threshold: float, registers: int = REGISTERS):
+    """Compares multisets, of pairs whose registers agree as often as those of similar documents do."""
+    least, body = _least(threshold, registers), 8 + 2 * registers
 
     def run(batches):
         last, mine = None, None
@@ -172,13 +183,70 @@ def _verify(size: int, threshold: float, registers: int = REGISTERS):
                 if np.count_nonzero(np.frombuffer(x[8:body], "<u2") == np.frombuffer(y[8:body], "<u2")) < least:
                     continue
                 if name != last:
-                    last, mine = name, multiset(x)
-                keep[k] = similarity(mine, multiset(y)) >= threshold
+                    last, mine = name, _multiset(x, size, body)
+                keep[k] = similarity(mine, _multiset(y, size, body)) >= threshold
             yield batch.filter(pa.array(keep)).select([c for c in batch.schema.names if c not in ("x", "y")])
 
     return run
 
 
+def _blocks(size: int, threshold: float, registers: int = REGISTERS):
+    """Links (u, v) of one block: its pairs of different classes, the likeliest first, are compared until they are tested or joined.
+
+    A pair that shares several buckets is tested in that of the first band."""
+    least, body = _least(threshold, registers), 8 + 2 * registers
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        n, cross = len(table), table["i"][0].as_py() != table["j"][0].as_py()
+        node, blob, part = table["node"].to_pylist(), table["blob"].to_pylist(), table["part"].to_numpy()
+        names: dict[bytes, int] = {}
+        group = np.array([names.setdefault(c, len(names)) for c in table["class"].to_pylist()])
+        boss, us, vs = list(range(len(names))), [], []
+        short = np.array([np.frombuffer(x[8:body], "<u2") for x in blob])
+        bands, band = np.array(table["bands"].to_pylist(), np.int64), table["k"][0].as_py()
+        tries = []
+        for i in range(n - 1) if len(names) > 1 else ():
+            open_ = group[i + 1 :] != group[i]
+            if cross:
+                open_ &= part[i + 1 :] != part[i]
+            rest = i + 1 + np.flatnonzero(open_)
+            rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
+            agree = (short[rest] == short[i]).sum(axis=1)
+            tries.append(np.stack([agree, np.full(len(rest), i), rest])[:, agree >= least])
+
+        def top(x: int) -> int:
+            while boss[x] != x:
+                boss[x] = x = boss[boss[x]]
+            return x
+
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        room = 0
+
+        def multiset(i: int) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal room
+            if (got := held.get(i)) is None:
+                got = _multiset(blob[i], size, body)
+                room += 16 * len(got[0])
+                if room > PARSED:
+                    held.clear()
+                    room = 16 * len(got[0])
+                held[i] = got
+            return got
+
+        if tries:
+            found = np.concatenate(tries, axis=1)
+            for i, j in found[1:, np.argsort(-found[0], kind="stable")].T.tolist():
+                a, b = top(int(group[i])), top(int(group[j]))
+                if a != b and similarity(multiset(i), multiset(j)) >= threshold:
+                    boss[a] = b
+                    us.append(node[i])
+                    vs.append(node[j])
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
+
+
 # --- classes ----------------------------------------------------------------------
 
 
@@ -222,11 +290,6 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
         before = state
 
 
-def _light(df: DataFrame, rows: int) -> DataFrame:
-    """df, broadcast if it has few rows."""
-    return F.broadcast(df) if rows <= SMALL else df
-
-
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """doc_id, a and b (a key of the row), node, bands, blob (the text, compressed) of each row; checkpointed."""
     read = texts(docs, id_col, text_col)
@@ -252,39 +315,31 @@ def link(rows: DataFrame, threshold: float = 0.8, registers: int = REGISTERS) ->
 
     A node's rank is the number of nodes that it meets in its buckets: what many
     texts were made from meets them all. First, each bucket's nodes are paired with
-    the one of highest rank. Then classes stand for their nodes, by the highest in
-    each bucket: the leading class meets all others of its bucket and then leaves
-    it, until a round links no more.
+    the one of highest rank, which joins most of a large group. Then each pair of
+    a bucket that is still of two classes is tested, whatever the first pass found.
     """
-    nodes = rows.where("blob IS NOT NULL").select("node", "bands").dropDuplicates(["node"])
-    buckets = nodes.select("node", F.posexplode("bands").alias("k", "h")).select("node", F.xxhash64("k", "h").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(buckets.join(sizes, "bucket"))
+    nodes = rows.where("blob IS NOT NULL").select("node", "bands", F.length("blob").alias("size")).dropDuplicates(["node"])
+    buckets = nodes.select("node", "size", F.posexplode("bands").alias("k", "h")).select("node", "size", "k", F.xxhash64("k", "h").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    shared = cut(buckets.drop("size").join(sizes, "bucket"))
     ranks = shared.groupBy("node").agg(F.sum("n").alias("rank"))
-    shared = cut(shared.join(ranks, "node").select("bucket", "node", "rank"))
     best = F.max(F.struct("rank", F.xxhash64("node").alias("h"), "node")).alias("s")
-    lead = shared.groupBy("bucket").agg(best).select("bucket", F.col("s.node").alias("u"))
-    found = _linked(shared.join(lead, "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct(), rows, threshold, registers)
-    if found.isEmpty():
-        return None
-    labels = components(found)
-    shared = shared.join(lead, "bucket").where("node <> u").drop("u")  # it has met all others, so that the next election is of another
-    named = shared.join(labels, "node", "left").select("bucket", "node", "rank", F.coalesce("label", "node").alias("class"))
-    while True:
-        per = cut(named.groupBy("bucket", "class").agg(best).select("bucket", "class", "s.node", "s.rank"))
-        first = F.max(F.struct("rank", F.xxhash64("node").alias("h"), "node", "class")).alias("s")
-        lead = per.groupBy("bucket").agg(first, F.count("*").alias("n")).where("n > 1").select("bucket", F.col("s.node").alias("u"), F.col("s.class").alias("cu"))
-        left = cut(per.join(lead, "bucket").where("class <> cu"))
-        pairs = left.select("u", F.col("node").alias("v"), "cu", F.col("class").alias("cv")).distinct()
-        found = _linked(pairs, rows, threshold, registers)
-        if found.isEmpty():
-            return labels
-        merged = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
-        merged = _light(merged.select(F.col("node").alias("class"), F.col("label").alias("into")), 2 * found.count())
-        moved = labels.select("node", F.col("label").alias("class")).join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("label"))
-        alone = merged.join(labels.select(F.col("node").alias("class")), "class", "left_anti").select(F.col("class").alias("node"), F.col("into").alias("label"))
-        labels = cut(moved.unionByName(alone))
-        named = left.join(merged, "class", "left").select("bucket", "node", "rank", F.coalesce("into", "class").alias("class"))
+    ranked = shared.select("bucket", "node").join(ranks, "node")
+    lead = ranked.groupBy("bucket").agg(best).select("bucket", F.col("s.node").alias("u"))
+    found = _linked(shared.select("bucket", "node").join(lead, "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct(), rows, threshold, registers)
+    labels = None if found.isEmpty() else components(found)
+    named = shared.withColumn("class", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
+    several = named.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    mine = named.join(several, "bucket").withColumn("parts", parts).withColumn("part", F.expr("cast(pmod(xxhash64(97, node), parts) as int)"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cut(dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "k", "node", "class"))
+    wanted = dealt.select("node").distinct()
+    content = cut(rows.where("blob IS NOT NULL").select("node", "bands", "blob").dropDuplicates(["node"]).join(wanted, "node", "left_semi"))
+    more = cut(dealt.join(content, "node").groupBy("bucket", "i", "j").applyInArrow(_blocks(WORDS, threshold, registers), "u binary, v binary"))
+    if more.isEmpty():
+        return labels
+    return components(more if labels is None else more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
 
 def _with_class(rows: DataFrame, threshold: float) -> DataFrame:

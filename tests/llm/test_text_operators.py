@@ -278,6 +278,14 @@ def test_a_bucket_elects_another_leader_after_the_first(spark):
     assert joined(table, got) > 100
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_all_pairs_of_a_bucket_are_tested(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    table = near_family()
+    got = neardup.classes(H.documents(spark, [(*r, "", "", 0) for r in table]))
+    assert rows(got) == H.key((r[0], c) for r, c in zip(table, H.near_classes(table), strict=True))
+
+
 def test_one_row_of_each_class_stays(spark):
     table = near_table()
     docs = H.awkward(spark, [(*r, "", "", 0) for r in table])
