@@ -89,10 +89,17 @@ def canonical(df: DataFrame, conv_id: str, fields: list[str]) -> DataFrame:
 
 
 def canonical_json(df: DataFrame, conv_id: str, json: str) -> DataFrame:
-    """conv_id, layout, turns of JSON records of any layouts. A list's first element tells its fields."""
+    """conv_id, layout, turns of JSON records of any layouts. A list whose elements have different fields is of no layout."""
     held = df.select(F.col(conv_id).alias("conv_id"), F.col(json).alias("j"))
-    keys = F.coalesce(F.expr("json_object_keys(j)"), F.array().cast("array<string>"))
-    inner = lambda k: F.coalesce(F.transform(F.expr(f"json_object_keys(get_json_object(j, '$.{k}[0]'))"), lambda x: F.concat(F.lit(f"{k}[]."), x)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    keys = F.coalesce(F.expr("json_object_keys(j)"), none)
+
+    def inner(k: str) -> Column:
+        elements = F.from_json(F.get_json_object("j", f"$.{k}"), "array<map<string,string>>")
+        kinds = F.array_distinct(F.transform(elements, lambda m: F.array_sort(F.array_distinct(F.coalesce(F.map_keys(m), none)))))
+        paths = F.transform(F.array_distinct(F.flatten(kinds)), lambda x: F.concat(F.lit(f"{k}[]."), x))
+        return F.coalesce(F.when(F.size(kinds) > 1, F.concat(paths, F.array(F.lit(f"{k}[]")))).otherwise(paths), none)
+
     held = held.withColumn("paths", F.array_sort(F.concat(keys, inner("messages"), inner("conversations"))))
     return _choose(held.withColumn("r", F.from_json("j", _RECORD))).select("conv_id", "layout", "turns")
 
