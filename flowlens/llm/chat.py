@@ -1,10 +1,12 @@
 """Chat formatting: schema fingerprints choose mappings to canonical turns, in DataFrame operations only.
 
 Layouts. A record's fingerprint is a hash of its sorted nested field paths, such
-as ``messages[].role``. Each layout that is known states its paths and, as SQL,
-how its fields become turns (role, text). Records may be columns of one schema
-(``canonical``) or JSON texts of many (``canonical_json``); a record that no
-layout fits keeps null turns and a null layout, so nothing is lost silently.
+as ``messages[].role``; a field that is null is absent, and fields that no layout
+names don't count. Each layout that is known states its paths and, as SQL,
+how its fields become turns (role, text). Records may be columns (``canonical``:
+each row fills those of its layout) or JSON texts (``canonical_json``). A record
+that no layout fits, one whose list has elements of different fields too, keeps
+null turns and a null layout, and is formatted as null, so nothing is lost silently.
 
 Template. A turn is ``<s>role``, a line feed, the text, ``</s>``. In roles
 and texts ``&`` becomes ``&amp;`` and each control string of CONTROL begins with
@@ -21,6 +23,8 @@ conv_id is a conversation of its own.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,8 @@ _TURN = "array<struct<role:string,text:string>>"
 
 #: Layout -> (field paths, turns as SQL over the record r). A record is told by its paths alone.
 LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
+    "no_messages": (("messages",), "array()"),
+    "no_conversations": (("conversations",), "array()"),
     "messages": (("messages", "messages[].content", "messages[].role"), "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))"),
     "messages_text": (("messages", "messages[].role", "messages[].text"), "transform(r.messages, m -> named_struct('role', m.role, 'text', m.text))"),
     "conversations": (("conversations", "conversations[].from", "conversations[].value"), "transform(r.conversations, m -> named_struct('role', case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end, 'text', m.value))"),
@@ -45,67 +51,81 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "system_instruction": (("instruction", "output", "system"), "array(named_struct('role', 'system', 'text', r.system), named_struct('role', 'user', 'text', r.instruction), named_struct('role', 'assistant', 'text', r.output))"),
 }
 
-_RECORD = "struct<messages:array<struct<role:string,content:string,text:string>>,conversations:array<struct<`from`:string,value:string>>,prompt:string,completion:string,response:string,question:string,answer:string,instruction:string,input:string,output:string,system:string>"
-
+#: Paths that any layout names.
+_KNOWN = {p for fields, _ in LAYOUTS.values() for p in fields}
 
-def paths_of(kind: T.DataType, prefix: str = "") -> list[str]:
-    """Field paths of a type: names of fields, [] for elements."""
-    if isinstance(kind, T.ArrayType):
-        return paths_of(kind.elementType, prefix + "[]")
-    if not isinstance(kind, T.StructType):
-        return []
-    out = []
-    for f in kind.fields:
-        name = f"{prefix}.{f.name}" if prefix else f.name
-        out += [name, *paths_of(f.dataType, name)]
-    return sorted(out)
+_RECORD = "struct<messages:array<struct<role:string,content:string,text:string>>,conversations:array<struct<`from`:string,value:string>>,prompt:string,completion:string,response:string,question:string,answer:string,instruction:string,input:string,output:string,system:string>"
 
 
 def fingerprint(paths: Column) -> Column:
     """Of a sorted array of field paths."""
-    return F.xxhash64(F.array_join(paths, "\n"))
+    return F.md5(F.array_join(paths, "\n"))
+
+
+def fingerprint_of(paths: tuple[str, ...]) -> str:
+    """The same on the driver."""
+    return hashlib.md5("\n".join(sorted(paths)).encode(), usedforsecurity=False).hexdigest()
 
 
-def _known(paths: Column) -> list[tuple[str, str, Column]]:
-    got = fingerprint(paths)
-    return [(name, turns, got == fingerprint(F.array(*(F.lit(p) for p in fields)))) for name, (fields, turns) in LAYOUTS.items()]
+def _possible(kind: T.StructType) -> set[str]:
+    """Paths that records of a type can have."""
+    out = set()
+    for f in kind.fields:
+        out.add(f.name)
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            out |= {f"{f.name}[].{x}" for x in f.dataType.elementType.names}
+    return out
 
 
-def _choose(df: DataFrame) -> DataFrame:
-    known = _known(F.col("paths"))
-    first = lambda values: F.coalesce(*(F.when(fits, v) for (_, _, fits), v in zip(known, values, strict=True)))
-    return df.withColumns({"layout": first([F.lit(name) for name, _, _ in known]), "turns": first([F.expr(how).cast(_TURN) for _, how, _ in known])})
+def _element_paths(items: Column, name: str, fields: list[str]) -> Column:
+    """The paths of each element of a list."""
+    known = [(x, f"{name}[].{x}") for x in fields if f"{name}[].{x}" in _KNOWN]
+    return F.transform(items, lambda m: F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(m[x].isNotNull(), p) for x, p in known))))
+
+
+def paths(record: Column, kind: T.StructType) -> Column:
+    """The sorted paths that a record has, of those that layouts name. A list of elements of different fields has the path of its name and [] besides."""
+    none, parts = F.array().cast("array<string>"), []
+    for f in kind.fields:
+        if f.name not in _KNOWN:
+            continue
+        value, names = record[f.name], F.array(F.lit(f.name))
+        if any(p.startswith(f"{f.name}[]") for p in _KNOWN):
+            if not (isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)):
+                names = F.array(F.lit(f"{f.name}[]"))
+            else:
+                kinds = F.array_distinct(_element_paths(value, f.name, f.dataType.elementType.names))
+                names = F.concat(names, F.array_distinct(F.flatten(kinds)), F.when(F.size(kinds) > 1, F.array(F.lit(f"{f.name}[]"))).otherwise(none))
+        parts.append(F.when(value.isNotNull(), names).otherwise(none))
+    return F.array_sort(F.concat(*parts)) if parts else none
+
+
+def _mapped(held: DataFrame, kind: T.StructType) -> DataFrame:
+    """conv_id, layout, turns of records r of a type: the fingerprint of each chooses its mapping."""
+    able = _possible(kind)
+    held = held.withColumn("f", fingerprint(paths(F.col("r"), kind)))
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURN)
+    for name, (fields, how) in LAYOUTS.items():
+        if set(fields) <= able:
+            fits = F.col("f") == fingerprint_of(fields)
+            layout, turns = F.when(fits, name).otherwise(layout), F.when(fits, F.expr(how).cast(_TURN)).otherwise(turns)
+    return held.select("conv_id", layout.alias("layout"), turns.alias("turns"))
 
 
 def canonical(df: DataFrame, conv_id: str, fields: list[str]) -> DataFrame:
-    """conv_id, layout, turns of records in columns: the schema's fingerprint chooses the mapping."""
-    kind = df.select(*(F.col(f"`{f}`") for f in fields)).schema
+    """conv_id, layout, turns of records in columns, each row of the layout whose fields it fills."""
     held = df.select(F.col(conv_id).alias("conv_id"), F.struct(*(F.col(f"`{f}`") for f in fields)).alias("r"))
-    paths = paths_of(kind)
-    for name, (known, how) in LAYOUTS.items():
-        if list(known) == paths:
-            return held.select("conv_id", F.lit(name).alias("layout"), F.expr(how).cast(_TURN).alias("turns"))
-    return held.select("conv_id", F.lit(None).cast("string").alias("layout"), F.lit(None).cast(_TURN).alias("turns"))
+    return _mapped(held, held.schema["r"].dataType)
 
 
 def canonical_json(df: DataFrame, conv_id: str, json: str) -> DataFrame:
-    """conv_id, layout, turns of JSON records of any layouts. A list whose elements have different fields is of no layout."""
-    held = df.select(F.col(conv_id).alias("conv_id"), F.col(json).alias("j"))
-    none = F.array().cast("array<string>")
-    keys = F.coalesce(F.expr("json_object_keys(j)"), none)
-
-    def inner(k: str) -> Column:
-        elements = F.from_json(F.get_json_object("j", f"$.{k}"), "array<map<string,string>>")
-        kinds = F.array_distinct(F.transform(elements, lambda m: F.array_sort(F.array_distinct(F.coalesce(F.map_keys(m), none)))))
-        paths = F.transform(F.array_distinct(F.flatten(kinds)), lambda x: F.concat(F.lit(f"{k}[]."), x))
-        return F.coalesce(F.when(F.size(kinds) > 1, F.concat(paths, F.array(F.lit(f"{k}[]")))).otherwise(paths), none)
-
-    held = held.withColumn("paths", F.array_sort(F.concat(keys, inner("messages"), inner("conversations"))))
-    return _choose(held.withColumn("r", F.from_json("j", _RECORD))).select("conv_id", "layout", "turns")
+    """conv_id, layout, turns of JSON records of any layouts."""
+    held = df.select(F.col(conv_id).alias("conv_id"), F.from_json(F.col(json).cast("string"), _RECORD).alias("r"))
+    return _mapped(held, held.schema["r"].dataType)
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, role, text, turn of a table with a row for each turn, as one-message records of the layout that its schema's fingerprint names."""
+    """conv_id, role, text, turn of a table with a row for each turn: each row is a one-message record, mapped by its fingerprint."""
     one = rows.select("conv_id", "turn", F.array(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("messages"))
     held = canonical(one.select(F.struct("conv_id", "turn").alias("k"), "messages"), "k", ["messages"])
     return held.select("conv_id.conv_id", "conv_id.turn", F.explode("turns").alias("t")).select("conv_id", "turn", "t.role", "t.text")
@@ -150,8 +170,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def format_records(records: DataFrame) -> DataFrame:
-    """format_turns() of canonical records; those without turns are left out."""
-    return format_turns(records.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text"))
+    """format_turns() of canonical records. Those of no turns are formatted as an empty text, those of no layout as null."""
+    out = format_turns(records.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text"))
+    rest = records.where("turns IS NULL OR size(turns) = 0").select("conv_id", F.when(F.col("turns").isNotNull(), "").alias("formatted"), F.when(F.col("turns").isNotNull(), F.array().cast(out.schema["loss_mask"].dataType)).alias("loss_mask"))
+    return out.unionByName(rest)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

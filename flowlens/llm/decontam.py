@@ -11,7 +11,9 @@ benchmark of one slice needs one scan; a larger one needs a scan for each, and
 only rows with hits are then merged by document.
 
 Null or wordless texts have no words and no hits; null or wordless items have
-no window. Equal rows and equal items each count. Null ids stay null.
+no window. Equal rows and equal items each count. Null ids stay null, and ids may
+be texts. Items of null id hit like others: together they are one item, which
+counts but adds no name.
 """
 
 from __future__ import annotations
@@ -25,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import texts
+from .common import Shared, id_type, texts
 
 _SPANS = "array<struct<start:long,end:long>>"
-SCAN = f"doc_id long, text string, n_words long, items array<string>, hits array<struct<first:int,last:int>>, spans {_SPANS}"
+SCAN = f"text string, n_words long, items array<string>, hits array<struct<first:int,last:int>>, spans {_SPANS}"
 
 
 class Windows:
     """Window hash -> texts and items, for each window length; a bit table in front."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
+        found: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
         for name, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             w = K.Words(K.FOLD[raw], np.array([0, len(raw)]), K.ALNUM)
@@ -91,7 +93,7 @@ def _scan(windows, keep_text: bool):
                             merged.append([a, b])
                     base, at = int(w.first[d]), int(offs[d])
                     points = np.cumsum((raw[at : offs[d + 1]] & 0xC0) != 0x80)
-                    items[i + d] = sorted(names)
+                    items[i + d] = sorted(names, key=lambda x: (x is None, x))
                     hits[i + d] = [{"first": a - base, "last": b - base} for a, b in merged]
                     spans[i + d] = [{"start": int(points[w.starts[a] - at]) - 1, "end": int(points[w.ends[b - 1] - at - 1])} for a, b in merged]
             span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -120,8 +122,8 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = 13, slice_mb: float = 3
     runs = []
     for k in range(slices):
         rows = items.where(part == k).select(F.col("doc_id").cast("string"), "text").collect()  # bounded by slice_mb
-        windows = spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in rows if r[0] is not None], width))
-        runs.append(texts(docs).mapInArrow(_scan(windows, keep_text or slices > 1), SCAN))
+        windows = Shared(spark.sparkContext, Windows([tuple(r) for r in rows], width))
+        runs.append(texts(docs).mapInArrow(_scan(windows, keep_text or slices > 1), f"doc_id {id_type(docs)}, {SCAN}"))
     out = runs[0]
     if slices > 1:
         # The ranges of a document's slices overlap: they are merged by folding over sorted ranges.
@@ -158,17 +160,18 @@ def remove_spans(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(cut).alias("text"))
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 13, share: int = 20, slice_mb: float = 32) -> DataFrame:
     """docs without contaminated rows; all columns stay, whatever their names."""
     spark = docs.sparkSession
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    packed = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     items = texts(bench, "item_id")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > 32e6:
-        bad = judge(docs, bench, width, share, keep_text=True).where("contaminated").select(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("b")).distinct()
+    if total > slice_mb * 1e6:
+        bad = judge(docs, bench, width, share, slice_mb=slice_mb, keep_text=True).where("contaminated").select(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("b")).distinct()
         keyed = packed.withColumn("a", F.xxhash64("doc_id", "text")).withColumn("b", F.xxhash64(F.lit(7919), "doc_id", "text"))
         return keyed.join(bad, ["a", "b"], "left_anti").select("row.*")
-    windows = spark.sparkContext.broadcast(Windows([(str(r[0]), r[1]) for r in items.collect() if r[0] is not None], width))
+    rows = items.select(F.col("doc_id").cast("string"), "text").collect()  # bounded by slice_mb
+    windows = Shared(spark.sparkContext, Windows([tuple(r) for r in rows], width))
 
     def run(batches):
         search = windows.value
@@ -189,7 +192,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 13, share:
 
 #: DuckDB's form of the digest; width and share as above.
 ORACLE = r"""
-WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS g
         FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM it WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),

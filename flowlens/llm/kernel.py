@@ -2,21 +2,31 @@
 
 A batch is cut into blocks of whole documents (about ``BLOCK`` bytes, or one
 longer document), so memory follows the longest document, not the batch.
-Words are byte ranges; hashes are 64-bit polynomials in an odd base, taken
-from one running sum so that any range costs one subtraction.
+
+Words are byte ranges. A range's 64-bit hash takes eight bytes at a time through
+the finaliser of splitmix64, which is one-to-one: ranges of up to eight bytes
+and equal length never share one, and no family of longer texts does by
+construction, as they do under sums of powers. A run of words is hashed
+by doubling: runs of 2, 4, 8 words, then two that overlap to the length wanted.
+Where a result rests on equal hashes alone, ranges are compared by their bytes
+(``Words.distinct``, ``Memo``).
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import sys
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 19
-_BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Longer ranges are hashed one by one.
+LONG = 512
+_LENGTH, _JOIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bytes of words: everything but the ASCII white space 0x20 and 0x09-0x0D.
 SPACED = np.ones(256, bool)
@@ -36,30 +46,42 @@ def store() -> dict:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    return mix(a * _JOIN + b)
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i up to n at least."""
-    got = store().get(("pow", base))
-    if got is None or len(got[0]) <= n:
-        size = max(1 << 17, 1 << int(n).bit_length())
+class Bytes:
+    """Bytes that are read eight at a time, from any place."""
 
-        def table(b: int) -> np.ndarray:
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            return np.cumprod(out, dtype=np.uint64)
+    def __init__(self, data: np.ndarray):
+        self.words = np.zeros((len(data) >> 3) + 2, "<u8")
+        self.words.view(np.uint8)[: len(data)] = data
 
-        got = table(base), table(pow(base, -1, 1 << 64))
-        if size <= 1 << 23:
-            store()["pow", base] = got
-    return got
+    def load(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """As numbers: the bytes from each place on, eight or as many as are left."""
+        k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        raw = (self.words[k] >> shift) | ((self.words[k + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        return raw & _KEEP[np.minimum(left, 8)]
 
 
-def _bytes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+def same(x: Bytes, a: np.ndarray, y: Bytes, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes from a in x are those from b in y."""
+    out, live, k = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(live):
+        left = size[live] - k
+        out[live] &= x.load(a[live] + k, left) == y.load(b[live] + k, left)
+        live = live[(left > 8) & out[live]]
+        k += 8
+    return out
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,22 +132,59 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        self._sum: np.ndarray | None = None
+        self._bytes: Bytes | None = None
+        self._hash: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    @property
+    def bytes(self) -> Bytes:
+        if self._bytes is None:
+            self._bytes = Bytes(self.data)
+        return self._bytes
+
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges."""
-        up, down = _powers(_BASE, len(self.data))
-        if self._sum is None:
-            self._sum = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_bytes()[self.data] * up[: len(self.data)], out=self._sum[1:])
-        return mix((self._sum[ends] - self._sum[starts]) * down[starts])
+        size = ends - starts
+        h = mix(size.astype(np.uint64) * _LENGTH)
+        far = size > LONG
+        live, k = np.flatnonzero((size > 0) & ~far), 0
+        while len(live):
+            left = size[live] - k
+            h[live] = mix(h[live] ^ self.bytes.load(starts[live] + k, left))
+            live = live[left > 8]
+            k += 8
+        for r in np.flatnonzero(far).tolist():
+            h[r] = int.from_bytes(hashlib.blake2b(self.data[starts[r] : ends[r]], digest_size=8).digest(), "little")
+        return h
 
     @property
     def hash(self) -> np.ndarray:
-        return self.ranges(self.starts, self.ends)
+        if self._hash is None:
+            self._hash = self.ranges(self.starts, self.ends)
+        return self._hash
+
+    def distinct(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct keys, one range of each, each range's key) of ranges of different bytes.
+
+        Keys are hashes. Where bytes show that different ranges share one, all but one get another.
+        """
+        h = self.hash if starts is self.starts and ends is self.ends else self.ranges(starts, ends)
+        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        one, size = at[inverse], ends - starts
+        if (size == size[one]).all() and same(self.bytes, starts, self.bytes, starts[one], size).all():
+            return keys, at, inverse
+        names: dict[bytes, int] = {}
+        own = np.array([names.setdefault(self.data[a:b].tobytes(), len(names)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        at = np.unique(own, return_index=True)[1]
+        keys = h[at]
+        while len(again := np.setdiff1d(np.arange(len(keys)), np.unique(keys, return_index=True)[1])):
+            keys[again] = mix(keys[again] + again.astype(np.uint64) + _LENGTH)
+        order = np.argsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return keys[order], at[order], place[own]
 
     def text(self, k: int, length: int) -> bytes:
         """Words k to k + length, one space between."""
@@ -138,11 +197,22 @@ def grams(h: np.ndarray, first: np.ndarray, doc: np.ndarray, length: int) -> tup
     n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _powers(_GRAM, len(h))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
+    size, g = 1, h
+    while 2 * size <= length:
+        g, size = join(g[:-size], g[size:]), 2 * size
     at = np.arange(n) if len(first) == 2 else np.flatnonzero(np.arange(length, len(h) + 1) <= first[1:][doc[:n]])
-    return at, mix((total[at + length] - total[at]) * down[at])
+    return at, g[at] if size == length else join(g[at], g[at + (length - size)])
+
+
+def runs(g: np.ndarray, n: int, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of runs of words of any lengths from n on; g: the hash of the n words from each word on."""
+    out = (last - first + seed).astype(np.uint64)
+    live, k = np.arange(len(first)), 0
+    while len(live):
+        out[live] = join(out[live], g[np.minimum(first[live] + k, last[live] - n)])
+        k += n
+        live = live[first[live] + k < last[live]]
+    return out
 
 
 def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
@@ -160,6 +230,12 @@ def per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def different(x: np.ndarray) -> np.ndarray:
+    """Sorted values, each once. Sorting is far faster here than the hash table that numpy's own takes to."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     order = np.argsort(keys)
@@ -171,10 +247,11 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """A worker's map from hashes to numbers, of about limit keys.
+    """A worker's map from texts to numbers, of about limit texts.
 
-    It has a large and a small run of sorted keys; the small one is merged into the large one when it has an eighth of it.
-    A full map takes no more keys, as the frequent ones come early, and forgets all when it knows few of those asked for.
+    Found by hash in a large and a small run of sorted keys (the small one is merged into the large one when it has an
+    eighth of it), then compared by length and bytes. A full map takes no more texts, as the frequent ones come early, and
+    forgets all when it knows few of those asked for.
     """
 
     def __init__(self, limit: int):
@@ -182,32 +259,56 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.large = self.small = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.large, self.small, self.n, self.pooled = none, none, 0, 0
+        self.value, self.begin, self.size = (np.zeros(1024, np.int64) for _ in range(3))
+        self.pool = Bytes(np.zeros(1 << 16, np.uint8))
 
     def __len__(self) -> int:
-        return len(self.large[0]) + len(self.small[0])
+        return self.n
 
     @staticmethod
     def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(a[0], b[0])
         return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
-    def get(self, keys: np.ndarray, fresh) -> np.ndarray:
-        """Values of sorted distinct keys; fresh(indexes) gives those of keys not yet known."""
-        out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for held, values in (self.large, self.small):
+    def _put(self, w: Words, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> None:
+        size, n = ends - starts, self.n + len(keys)
+        if n > len(self.value):
+            self.value, self.begin, self.size = (np.concatenate([x[: self.n], np.zeros(n, np.int64)]) for x in (self.value, self.begin, self.size))
+        stops = np.cumsum(size)
+        total = self.pooled + int(stops[-1])
+        if total > 8 * (len(self.pool.words) - 2):
+            old, self.pool = self.pool, Bytes(np.zeros(2 * total, np.uint8))
+            self.pool.words[: len(old.words)] = old.words
+        flat_ = w.data[np.repeat(starts - stops + size, size) + np.arange(int(stops[-1]))]
+        self.pool.words.view(np.uint8)[self.pooled : total] = flat_
+        self.value[self.n : n], self.size[self.n : n], self.begin[self.n : n] = values, size, self.pooled + stops - size
+        self.small = self._merge(self.small, (keys, np.arange(self.n, n)))
+        self.n, self.pooled = n, total
+        if 8 * len(self.small[0]) > len(self.large[0]):
+            self.large, self.small = self._merge(self.large, self.small), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def get(self, w: Words, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, fresh) -> np.ndarray:
+        """Values of ranges of w with sorted distinct keys (Words.distinct); fresh(indexes) gives those of texts not yet known."""
+        out, left, foreign = np.zeros(len(keys), np.int64), np.arange(len(keys)), np.zeros(len(keys), bool)
+        for held, entry in (self.large, self.small):
             if len(held) and len(left):
                 at = np.minimum(np.searchsorted(held, keys[left]), len(held) - 1)
                 hit = held[at] == keys[left]
-                out[left[hit]] = values[at[hit]]
-                left = left[~hit]
+                mine, e = left[hit], entry[at[hit]]
+                size = (ends - starts)[mine]
+                true = size == self.size[e]
+                true[true] = same(w.bytes, starts[mine][true], self.pool, self.begin[e][true], size[true])
+                out[mine[true]] = self.value[e[true]]
+                foreign[mine[~true]] = True
+                left = left[~hit | foreign[left]]
         if len(left):
             out[left] = fresh(left)
             if len(self) >= self.limit:
                 if 5 * len(left) > 4 * len(keys):
                     self.clear()
                 return out
-            self.small = self._merge(self.small, (keys[left], out[left]))
-            if 8 * len(self.small[0]) > len(self.large[0]):
-                self.large, self.small = self._merge(self.large, self.small), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(new := left[~foreign[left]]):  # of texts that share a hash, the first is kept
+                self._put(w, keys[new], starts[new], ends[new], out[new])
         return out

@@ -12,10 +12,14 @@ document would pass the rest; u comes from a hash of the row, so reruns agree.
 Prefix sums over a source are made in two levels: keys fall into about
 ``n / ROWS_PER_RANGE`` ranges of equal expected size, sums of ranges are added
 up first, and rows only within their range. So a source that holds
-a third of all rows is spread over as many tasks as its rows need.
+a third of all rows is spread over as many tasks as its rows need. Ranges are
+quantiles: a key is exponential given its weight, so the counts of a source's
+weights, by steps of STEPS to the octave, give the share of its keys below any.
 
 Null or empty texts have size 0 and are taken 0 words. Equal rows have equal
-keys and are ordered next to each other. An empty table gives an empty mix.
+keys and are ordered next to each other; rows that differ in any column are
+told apart, the same text in two sources too. Weights that are null or not above
+0 count as 1e-9. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_type, packed, row_key
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-ROWS_PER_RANGE = 1000
+ROWS_PER_RANGE, STEPS = 1000, 8
 #: Rows, of a name and three numbers, that may be broadcast.
 SMALL = 50_000
 SYMBOLS = "#*$%&|<>"
@@ -46,24 +50,27 @@ def quality(text: str = "text") -> Column:
 
 
 def sized(docs: DataFrame, weight: Column | None = None, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, e (the scaled exponential key), a and b (a key of the row) of each row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), *([] if weight is None else [weight.cast("double").alias("w")]))
+    """doc_id, source, size, w (the weight), e (the exponential key scaled by it), a and b (a key of the row) of each row."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    own = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), w.alias("w"), *row_key(docs))
     if weight is None:
         own = own.withColumn("w", quality())
     size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    out = own.select("doc_id", "source", "w", size.alias("size"), F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("b"))
-    key = -F.log(uniform("doc_id", "source", "size", seed=seed)) / F.when(F.col("w") > 0, F.col("w")).otherwise(1e-9)
-    return out.select("doc_id", "source", "size", key.alias("e"), "a", "b")
+    out = own.select("doc_id", "source", F.when((F.col("w") > 0) & (F.col("w") < 1e300), F.col("w")).otherwise(1e-9).alias("w"), size.alias("size"), "a", "b")
+    key = -F.log(uniform("doc_id", "source", "size", seed=seed)) / F.col("w")
+    return out.select("doc_id", "source", "size", "w", key.alias("e"), "a", "b")
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, n, target: a row for each source.
+    """source, source_size, n, weights (how many rows have about which), target: a row for each source.
 
     The level that uncapped sources share is found in one pass over
     sources in order of cap / weight. That and the ranking of names hold
     a row for each source in one task.
     """
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    step = F.round(F.log2("w") * STEPS)
+    few = rows.groupBy("source", step.alias("step")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("w").alias("w"))
+    per = few.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.collect_list(F.struct("n", "w")).alias("weights"))  # a row for each step of weights
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     per = per.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")))
     per = per.withColumn("most", float(cap) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("w"))
@@ -72,7 +79,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     level = (budget - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     per = per.withColumn("level", level)
     met = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull(), "source"))).over(every)
-    return per.withColumn("met", met).select("source", "source_size", "n", F.least("most", F.coalesce(F.col("met") * F.col("w"), F.col("most"))).alias("target"))
+    return per.withColumn("met", met).select("source", "source_size", "n", "weights", F.least("most", F.coalesce(F.col("met") * F.col("w"), F.col("most"))).alias("target"))
 
 
 def _light(df: DataFrame) -> DataFrame:
@@ -83,11 +90,12 @@ def _light(df: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """rows with source_size, target, epochs, taken."""
     held = rows.withColumn("s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")))
-    goal = cut(goals.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")).alias("s"), "source_size", "n", "target"))
-    held = held.join(_light(goal), "s")
-    # 1 - exp(-e) is uniform for documents of weight 1 and rises with e for all.
+    goal = cut(goals.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")).alias("s"), "source_size", "n", "weights", "target"))
+    held = held.drop("w").join(_light(goal), "s")
+    # Of rows of weight w, exp(-w e) have a key above e.
+    above = F.aggregate("weights", F.lit(0.0), lambda t, x: t + x["n"] * F.exp(-x["w"] * F.col("e")), lambda t: t / F.col("n"))
     ranges = F.ceil(F.col("n") / ROWS_PER_RANGE)
-    held = held.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("e"))) * ranges), ranges - 1).cast("long")).drop("n")
+    held = held.withColumn("range", F.greatest(F.least(F.floor((1 - above) * ranges), ranges - 1), F.lit(0)).cast("long")).drop("n", "weights")
     sums = cut(held.groupBy("s", "range").agg(F.sum("size").alias("in_range")))
     before = F.coalesce(F.sum("in_range").over(Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.join(_light(cut(sums.select("s", "range", before.alias("before")))), ["s", "range"])
@@ -108,10 +116,8 @@ def apply_mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """docs, each row as often as the mix takes it; all columns stay."""
     rows = cut(sized(docs, weight))
     copies = mix(rows, targets(rows)).groupBy("a", "b").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = packed.select("row", F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("b"))
-    # Equal rows share a key: one of them stands for all, as their copies are summed.
-    one = packed.join(copies, ["a", "b"]).groupBy("a", "b").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    # Only rows that are equal in all columns share a key: one of them stands for all, as their copies are summed.
+    one = packed(docs).select("row", "a", "b").join(copies, ["a", "b"]).groupBy("a", "b").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
     return one.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).select("row.*")
 
 

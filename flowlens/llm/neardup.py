@@ -27,20 +27,22 @@ components of links.
 
 Texts without a normalised word are linked to equal texts only, and empty, blank
 or null texts to none. Equal rows are of one class. A class's id is the least
-doc_id in it, null if all of them are null. Nothing is collected to the driver.
+doc_id in it, null if all of them are null; ids may be texts. Nothing is
+collected to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, texts
+from .common import cut, id_type, packed
 
 WORDS, REGISTERS, ROWS = 5, 100, 5
 #: Links (of two 16-byte names) that one task may join to components. Beyond, components are found in star steps.
@@ -149,8 +151,7 @@ def _sign(size: int, registers: int, rows: int):
                         bands[i + d] = band[d].view(np.int64)
                         blobs[i + d] = np.int64(len(text)).tobytes() + short[d].tobytes() + pa.compress(text, "zstd", asbytes=True)
                     elif text.strip(b"\x00\t\n\x0b\x0c\r "):
-                        key = K.Words(raw[offs[d] : offs[d + 1]], np.array([0, len(text)]), np.ones(256, bool)).hash
-                        nodes[i + d] = key[0].tobytes() + K.mix(key ^ np.uint64(len(text)))[0].tobytes()
+                        nodes[i + d] = hashlib.blake2b(text, digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
                 ["doc_id", "a", "b", "node", "bands", "blob"],
@@ -291,10 +292,10 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """doc_id, a and b (a key of the row), node, bands, blob (the text, compressed) of each row; checkpointed."""
-    read = texts(docs, id_col, text_col)
-    read = read.select("doc_id", F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("b"), "text")
-    return cut(read.mapInArrow(_sign(WORDS, registers, rows), "doc_id long, a long, b long, node binary, bands array<long>, blob binary"))
+    """doc_id, a and b (row_key), node, bands, blob (the text, compressed) of each row; checkpointed."""
+    own = docs if (id_col, text_col) == ("doc_id", "text") else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    read = packed(own).select("doc_id", "a", "b", "text")
+    return cut(read.mapInArrow(_sign(WORDS, registers, rows), f"doc_id {id_type(own)}, a long, b long, node binary, bands array<long>, blob binary"))
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, threshold: float, registers: int) -> DataFrame:
@@ -320,16 +321,16 @@ def link(rows: DataFrame, threshold: float = 0.8, registers: int = REGISTERS) ->
     """
     nodes = rows.where("blob IS NOT NULL").select("node", "bands", F.length("blob").alias("size")).dropDuplicates(["node"])
     buckets = nodes.select("node", "size", F.posexplode("bands").alias("k", "h")).select("node", "size", "k", F.xxhash64("k", "h").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    # Tables that are distinct by bucket are cut: a join of two plain shuffles is one whose hot buckets AQE can split.
+    sizes = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"))
     shared = cut(buckets.drop("size").join(sizes, "bucket"))
-    ranks = shared.groupBy("node").agg(F.sum("n").alias("rank"))
+    ranks = cut(shared.groupBy("node").agg(F.sum("n").alias("rank")))
     best = F.max(F.struct("rank", F.xxhash64("node").alias("h"), "node")).alias("s")
-    ranked = shared.select("bucket", "node").join(ranks, "node")
-    lead = ranked.groupBy("bucket").agg(best).select("bucket", F.col("s.node").alias("u"))
+    lead = cut(shared.select("bucket", "node").join(ranks, "node").groupBy("bucket").agg(best).select("bucket", F.col("s.node").alias("u")))
     found = _linked(shared.select("bucket", "node").join(lead, "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct(), rows, threshold, registers)
     labels = None if found.isEmpty() else components(found)
     named = shared.withColumn("class", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
-    several = named.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
+    several = cut(named.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     mine = named.join(several, "bucket").withColumn("parts", parts).withColumn("part", F.expr("cast(pmod(xxhash64(97, node), parts) as int)"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -358,13 +359,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of each class, that of the least doc_id (null last), and all rows of no class; all columns stay."""
-    names: list[Column] = [F.col(f"`{c}`") for c in docs.columns]
     rows = _with_class(signed(docs), threshold)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b")
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("s")).select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.lit(True).alias("one"))
     free = rows.where("class IS NULL").select("a", "b", F.lit(False).alias("one")).distinct()
-    packed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = packed.select("row", F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("b"))
-    held = packed.join(first.unionByName(free), ["a", "b"])
+    held = packed(docs).select("row", "a", "b").join(first.unionByName(free), ["a", "b"])
     many = held.where(~F.col("one")).select("row")
+    # Only rows that are equal in all columns share a key.
     return held.where("one").groupBy("a", "b").agg(F.first("row").alias("row")).select("row").unionByName(many).select("row.*")

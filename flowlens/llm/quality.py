@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import cut
+from .common import cut, id_type
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -60,7 +60,7 @@ def _measure(batches):
             row["n_distinct"] = _distinct(h, w.doc, salt)
             # Lines with a word: those that begin at a document's start or after a line feed.
             feed = np.flatnonzero(raw == 10)
-            begins = np.unique(np.concatenate([offs[:-1][offs[:-1] < len(raw)], feed[feed + 1 < len(raw)] + 1]))
+            begins = K.different(np.concatenate([offs[:-1][offs[:-1] < len(raw)], feed[feed + 1 < len(raw)] + 1]))
             ends = np.minimum(np.append(begins[1:], len(raw)), len(raw))
             ends = ends - ((ends > begins) & (raw[ends - 1] == 10)) if len(raw) else ends
             has = np.searchsorted(w.starts, begins) < np.searchsorted(w.starts, ends)
@@ -84,7 +84,7 @@ def _distinct(h: np.ndarray, doc: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """doc_id and FIGURES of each row, and the column carry if given."""
-    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    own = [F.col(id_col).cast(id_type(docs, id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     read = docs.select(*own, *([] if carry is None else [carry]))
     figures = T.StructType([T.StructField(k, T.LongType()) for k in FIGURES])
     return read.mapInArrow(_measure, T.StructType([read.schema["doc_id"], *figures.fields, *read.schema.fields[2:]]))
@@ -145,7 +145,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior:
         weight = np.stack([counts * p, counts * (1 - p)])
         fresh = np.einsum("cp,prv->crv", weight, seen) + strength * n * np.array([prior, 1 - prior])[:, None, None] * start
         fresh /= fresh.sum(axis=2, keepdims=True)
-        share_good = float(np.clip((weight[0].sum() + strength * n * prior) / (n * (1 + strength)), 0.5, 0.999))
+        share_good = float((weight[0].sum() + strength * n * prior) / (n * (1 + strength)))  # never 0 or 1: the added votes have both
         if abs(share_good - good) < 1e-9 and np.abs(fresh - table).max() < 1e-9:
             break
         table, good = fresh, share_good
@@ -182,3 +182,17 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     patterns, counts = _patterns(votes(measure(docs)))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     return _verdict(votes(measure(docs, carry=row)), patterns, counts, threshold).where("kept").select("row.*")
+
+
+#: DuckDB's form of the figures and base rules, and of the number of words alone.
+FIGURES_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(range(k, k + 8)) AS p FROM g JOIN rep USING (doc_id, g)) GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN pos USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+"""
+WORDS_ORACLE = r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words FROM documents"

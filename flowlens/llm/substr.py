@@ -6,13 +6,16 @@ whose words also start anywhere else, in the same or another document, goes.
 1. Cutting. Every window has an anchor: its run of ``ANCHOR`` words with the
    least hash, the leftmost of equals. Windows in a row with the same anchor
    make a segment. Equal windows have equal anchors, so dealing segments out by
-   their anchors' hash brings all occurrences of a window to one shard. A task
-   sends a segment's words once, with their number of occurrences (one, or
-   more), however many copies it met; segments travel compressed.
+   their anchors' hash brings all occurrences of a window to one shard. Anchors
+   of very many segments (``hot_anchors``) are no key alone: their windows have a
+   second anchor, the least of the runs that aren't hot by another hash, and are
+   cut and dealt by both. A task sends a segment's words once, with their number of
+   occurrences (one, or more), however many copies it met; segments travel
+   compressed.
 2. Index. A shard keeps the segments whose anchor occurs twice or more, once
    each, and builds an FM-index over their words: a wavelet matrix of the
-   Burrows-Wheeler transform, and bits that mark where ``width - 1`` words
-   differ between neighbouring suffixes.
+   Burrows-Wheeler transform, and a bit for each suffix that marks where
+   ``width - 1`` words differ from the suffix before.
 3. Search. All of the shard's segments are streamed against it, each from its
    last word to its first, many at once. A backward step extends the match by a
    word; to slide the window, the match is cut to its first width - 1 words by
@@ -22,9 +25,12 @@ whose words also start anywhere else, in the same or another document, goes.
    findings (a skewed hash is split by AQE, as the findings are distinct), and
    the intervals join the texts by a 128-bit key of id and text.
 
+A shard holds about ``SHARD_BYTES`` of segments; a task takes one shard after
+another, so there are ``TASKS`` tasks at most, however many shards.
+
 Words are runs of anything but ASCII white space, compared unchanged. Null and
-wordless texts have no words. Equal rows repeat each other. Null ids stay null.
-Memory of a task follows ``SHARD_BYTES`` and the longest document.
+wordless texts have no words. Equal rows repeat each other. Null ids stay null;
+ids may be texts. Memory of a task follows ``SHARD_BYTES`` and the longest document.
 """
 
 from __future__ import annotations
@@ -38,57 +44,127 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import texts
+from .common import Shared, cut, id_type, texts
 
 #: Words of an anchor; bytes of segments of a shard, about, and of those that a task holds before it sends them; how hard they are compressed.
 ANCHOR, SHARD_BYTES, HELD, LEVEL = 6, 8 << 20, 32 << 20, 9
+#: Tasks of the search at most; segments of an anchor, and its share of all, above which it is hot.
+TASKS, HOT_SEGMENTS, HOT_SHARE = 20_000, 32_768, 1e-6
+#: Words whose windows' anchors are found at once.
+PIECE = 1 << 22
+NONE = np.zeros(0, np.uint64)
+
+
+def _least(v: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
+    """For each window that begins at whole, the place of the least of span values from there on, the leftmost of equals.
+
+    The upper 40 bits are compared; words are taken in pieces, so a place within one needs 24.
+    """
+    out = np.empty(len(whole), np.int64)
+    for low in range(0, len(v), PIECE):
+        a, b = np.searchsorted(whole, [low, low + PIECE])
+        if a == b:
+            continue
+        part = v[low : low + PIECE + span]
+        part = part >> np.uint64(24) << np.uint64(24) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while size < span:
+            step = min(size, span - size)
+            part[:-step] = np.minimum(part[:-step], part[step:])
+            size += step
+        out[a:b] = (part[whole[a:b] - low] & np.uint64((1 << 24) - 1)).astype(np.int64) + low
+    return out
 
 
 class Segments:
-    """The segments of a block: words first to last - 1, windows' number, anchor's and own hash."""
+    """The segments of a block: words first to last - 1, windows' number, key they are dealt by and own hash (key, more).
+
+    hot: sorted hashes of anchors that are no key alone.
+    """
 
-    def __init__(self, w: K.Words, width: int):
+    def __init__(self, w: K.Words, width: int, hot: np.ndarray = NONE):
         n, h = len(w), w.hash
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.windows = empty
-        self.anchor = self.key = np.zeros(0, np.uint64)
+        self.anchor = self.key = self.more = NONE
         span = width - ANCHOR + 1
         at, g = K.grams(h, w.first, w.doc, ANCHOR)
         whole = np.flatnonzero(np.arange(width, n + 1) <= w.first[1:][w.doc[: max(0, n - width + 1)]]) if n >= width else empty
         if not len(whole):
             return
-        if n >= 1 << 24:
-            raise ValueError("a document of over 16 million words")
-        # The hash's upper 40 bits and the place: the least is the leftmost of the least hashes.
-        v = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        v[at] = g >> np.uint64(24) << np.uint64(24) | at.astype(np.uint64)
-        size = 1
-        while size < span:
-            step = min(size, span - size)
-            v[:-step] = np.minimum(v[:-step], v[step:])
-            size += step
-        place = (v[whole] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        most = np.iinfo(np.uint64).max
+        full = np.full(n, most, np.uint64)
+        full[at] = g
+        place = _least(full, whole, span)
         new = np.ones(len(whole), bool)
         new[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1] + 1)
+        anchor = full[place]
+        if len(hot) and (warm := np.isin(anchor, hot)).any():
+            other = K.mix(full ^ np.uint64(0x452821E638D01377))
+            other[np.isin(full, hot) | (full == most)] = most
+            second = _least(other, whole, span)
+            least = other[second]
+            second[least == most] = -1  # all of the window's runs are hot
+            new[1:] |= warm[1:] & (second[1:] != second[:-1])
+            anchor = np.where(warm, K.join(anchor, least), anchor)
         begin = np.flatnonzero(new)
         self.windows = np.diff(np.append(begin, len(whole)))
         self.first = whole[begin]
         self.last = self.first + self.windows - 1 + width
-        full = np.zeros(n, np.uint64)
-        full[at] = g
-        self.anchor = full[place[begin]]
-        self.key = runs_hash(h, self.first, self.last)
+        self.anchor = anchor[begin]
+        self.key, self.more = _names(full, self.first, self.last)
 
     def __len__(self) -> int:
         return len(self.first)
 
 
-def runs_hash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of runs of words, of any lengths."""
-    up, down = K._powers(0xA0761D6478BD642F, len(h))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return K.mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+def _names(full: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that name the words of each run: 64, and 32 more. full: the hash of the ANCHOR words from each word on."""
+    return K.runs(full, ANCHOR, first, last), K.runs(full, ANCHOR, first, last, 1 << 32) >> np.uint64(32)
+
+
+# --- anchors ---------------------------------------------------------------------
+
+
+def _survey(width: int):
+    """anchor, n: of segments different within a block, those of anchors that a task meets twice or more; and all under a null anchor."""
+
+    def run(batches):
+        held, total, size = [], 0, 0
+
+        def flush():
+            anchor, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(anchor[many].view(np.int64)), pa.array(n[many])], ["anchor", "n"])
+
+        for batch in batches:
+            data, offsets = K.flat(batch.column(0))
+            for _, _, raw, offs in K.blocks(data, offsets):
+                s = Segments(K.Words(raw, offs, K.SPACED), width)
+                if len(s):
+                    one = np.unique(s.key, return_index=True)[1]
+                    held.append(s.anchor[one])
+                    total += len(s)
+                    size += len(one)
+                if size > 1 << 20:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(read: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of anchors of over HOT_SEGMENTS segments and over HOT_SHARE of all, so 1 / HOT_SHARE of them at most.
+
+    What is counted only decides how segments are dealt out, so occurrences that are alone in a task may be left out.
+    """
+    counts = cut(read.mapInArrow(_survey(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(f"n > {HOT_SEGMENTS} OR anchor IS NULL"))
+    total = (counts.where("anchor IS NULL").first() or (0, 0))[1]
+    rows = counts.where(F.col("anchor").isNotNull() & (F.col("n") > HOT_SHARE * total)).select("anchor").toPandas()
+    return np.sort(rows["anchor"].to_numpy(np.int64).view(np.uint64))
 
 
 # --- messages ------------------------------------------------------------------
@@ -106,10 +182,10 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(raw, "<u4", n, 8), np.frombuffer(raw, np.uint8, n, 8 + 4 * n).astype(bool), np.frombuffer(raw[8 + 5 * n : 8 + 9 * n], "<u4"), raw[8 + 9 * n :]
 
 
-def _send(width: int, shards: int):
+def _send(width: int, shards: int, hot=None):
     def run(batches):
-        held: dict[int, list] = {}  # key -> [anchor, several, text]
-        size = 0
+        held: dict[int, list] = {}  # name -> [anchor, several, text]
+        size, warm = 0, NONE if hot is None else hot.value
 
         def flush():
             rows = list(held.values())
@@ -122,19 +198,20 @@ def _send(width: int, shards: int):
             for part in np.split(order, cuts):
                 names.append(int(shard[part[0]]))
                 blobs.append(pack(anchors[part], many[part], [rows[k][2] for k in part.tolist()]))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         for batch in batches:
             data, offsets = K.flat(batch.column(0))
             for _, _, raw, offs in K.blocks(data, offsets):
                 w = K.Words(raw, offs, K.SPACED)
-                s = Segments(w, width)
+                s = Segments(w, width, warm)
                 if not len(s):
                     continue
                 text = raw.tobytes()
-                for key, anchor, a, b in zip(s.key.tolist(), s.anchor.tolist(), w.starts[s.first].tolist(), w.ends[s.last - 1].tolist(), strict=True):
-                    if (got := held.get(key)) is None:
-                        held[key] = [anchor, False, text[a:b]]
+                for key, more, anchor, a, b in zip(s.key.tolist(), s.more.tolist(), s.anchor.tolist(), w.starts[s.first].tolist(), w.ends[s.last - 1].tolist(), strict=True):
+                    name = key << 32 | more
+                    if (got := held.get(name)) is None:
+                        held[name] = [anchor, False, text[a:b]]
                         size += b - a + 150
                     else:
                         got[1] = True
@@ -180,6 +257,43 @@ class Wavelet:
         return out
 
 
+class Marks:
+    """Bits that begin groups, the first of all included. Takes a bit a place and two more for the nearest words that have any."""
+
+    def __init__(self, edge: np.ndarray):
+        self.n = len(edge)
+        padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+        padded[: self.n] = edge
+        self.plane = np.packbits(padded, bitorder="little").view("<u8")
+        some, each = self.plane > 0, np.arange(len(self.plane), dtype=np.int32)
+        self.before = np.maximum.accumulate(np.where(some, each, -1)).astype(np.int32)
+        after = np.where(some, each, len(each)).astype(np.int32)
+        self.after = np.append(np.minimum.accumulate(after[::-1])[::-1], np.int32(len(each)))
+
+    @staticmethod
+    def _highest(word: np.ndarray) -> np.ndarray:
+        for k in (1, 2, 4, 8, 16, 32):
+            word = word | (word >> np.uint64(k))
+        return np.bitwise_count(word).astype(np.int64) - 1
+
+    @staticmethod
+    def _lowest(word: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+
+    def around(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, one past the last) place of each place's group."""
+        k, bit = place >> 6, (place & 63).astype(np.uint64)
+        upto = (np.uint64(2) << bit) - np.uint64(1)  # 2 << 63 is 0, and 0 - 1 is all ones
+        here, rest = self.plane[k] & upto, self.plane[k] & ~upto
+        k1 = np.where(here > 0, k, self.before[np.maximum(k - 1, 0)])
+        first = (k1 << 6) + self._highest(np.where(here > 0, here, self.plane[k1]))
+        k2 = np.where(rest > 0, k, self.after[k + 1])
+        inside = k2 < len(self.plane)
+        found = self.plane[np.where(inside, k2, 0)]
+        last = np.where(inside, (k2 << 6) + self._lowest(np.where(rest > 0, rest, found)), self.n)
+        return first, np.minimum(last, self.n)
+
+
 class FMIndex:
     """Of a sequence of symbols (0 separates), for backward search of up to about twice depth symbols."""
 
@@ -218,10 +332,7 @@ class FMIndex:
         far = np.zeros(n, np.int64)
         far[: max(0, n - shift)] = rank[shift:]
         same = (rank[order][1:] == rank[order][:-1]) & (far[order][1:] == far[order][:-1])
-        edge = np.concatenate([[True], ~same])
-        starts = np.flatnonzero(edge)
-        group = np.cumsum(edge) - 1
-        self.low, self.high = starts[group], np.append(starts[1:], n)[group]
+        self.marks = Marks(np.concatenate([[True], ~same]))
         self.wavelet = Wavelet(symbols[order - 1], sigma)
         before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])[:-1]
         every = np.arange(sigma)
@@ -246,7 +357,7 @@ class FMIndex:
 
     def cut(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of suffixes that share depth - 1 symbols with number low."""
-        return self.low[low], self.high[low]
+        return self.marks.around(low)
 
 
 def repeats(index: FMIndex, symbols: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
@@ -272,8 +383,8 @@ def repeats(index: FMIndex, symbols: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
-def search_shard(messages: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, bits of repeated windows) of a shard's segments that have any."""
+def search_shard(messages: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, more, bits of repeated windows) of a shard's segments that have any."""
     anchors = np.concatenate([m[0] for m in messages])
     many = np.concatenate([m[1] for m in messages])
     sizes = np.concatenate([m[2] for m in messages]).astype(np.int64)
@@ -282,17 +393,15 @@ def search_shard(messages: list[tuple], width: int) -> tuple[np.ndarray, np.ndar
     # Only anchors that occur twice can hold repeated windows.
     keep = K.repeated(anchors) | np.isin(anchors, anchors[many])
     if not keep.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return NONE, NONE, NONE
     if not keep.all():
         data = data[np.repeat(keep, sizes)]
         many, sizes = many[keep], sizes[keep]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
     w = K.Words(data, bounds, K.SPACED)
-    h = w.hash
-    key = runs_hash(h, w.first[:-1], w.first[1:])
-    key, one, where, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    several = count > 1
-    several |= np.bincount(where, many, len(key)) > 0
+    one, where = w.distinct(bounds[:-1], bounds[1:])[1:]
+    several = np.bincount(where, minlength=len(one)) > 1
+    several |= np.bincount(where, many, len(one)) > 0
     lengths = w.counts[one]
     # The sequence: each different segment's words, and a separator.
     place = np.cumsum(lengths + 1) - lengths - 1
@@ -301,30 +410,55 @@ def search_shard(messages: list[tuple], width: int) -> tuple[np.ndarray, np.ndar
     inside[place + lengths] = False
     target = np.flatnonzero(inside)
     sequence = np.zeros(len(inside), np.int64)
-    sequence[target] = np.unique(h[words + target], return_inverse=True)[1] + 1
+    sequence[target] = w.distinct(w.starts, w.ends)[2][words + target] + 1
     bits = ((np.uint64(1) << (lengths - width + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
     once = np.flatnonzero(~several)
     if len(once):
         bits[once] = repeats(FMIndex(sequence, width), sequence, place[once], place[once] + lengths[once], width)
-    some = bits > 0
-    return key[some], bits[some]
+    some = np.flatnonzero(bits)
+    at, g = K.grams(w.hash, w.first, w.doc, ANCHOR)
+    full = np.zeros(len(w), np.uint64)
+    full[at] = g
+    key, more = _names(full, w.first[one[some]], w.first[one[some] + 1])
+    return key, more, bits[some]
+
+
+def merged(messages: list[tuple]) -> tuple:
+    """One message of several, each different segment once."""
+    held: dict[bytes, list] = {}
+    for anchors, many, sizes, data in messages:
+        at = 0
+        for anchor, several, size in zip(anchors.tolist(), many.tolist(), sizes.tolist(), strict=True):
+            text = bytes(data[at : at + size])
+            at += size
+            if (got := held.get(text)) is None:
+                held[text] = [anchor, several]
+            else:
+                got[1] = True
+    rows = list(held.values())
+    return np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], bool), np.array([len(t) for t in held], np.uint32), b"".join(held)
 
 
 def _search(width: int):
     def run(batches):
-        shard, messages = None, []
+        shard, messages, size, least = None, [], 0, 4 * SHARD_BYTES
 
         def done():
-            key, bits = search_shard(messages, width)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bits.view(np.int64))], ["key", "bits"])
+            key, more, bits = search_shard(messages, width)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(more.astype(np.uint32).view(np.int32)), pa.array(bits.view(np.int64))], ["key", "more", "bits"])
 
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if name != shard and messages:
                     yield done()
-                    messages = []
+                    messages, size, least = [], 0, 4 * SHARD_BYTES
                 shard = name
                 messages.append(unpack(blob.as_py()))
+                size += len(messages[-1][3])
+                if size > least:  # copies that many tasks sent
+                    messages = [merged(messages)]
+                    size = len(messages[0][3])
+                    least = max(least, 2 * size)
         if messages:
             yield done()
 
@@ -334,18 +468,19 @@ def _search(width: int):
 # --- the operator --------------------------------------------------------------
 
 
-def _cut(width: int):
+def _cut(width: int, hot):
     def run(batches):
         for batch in batches:
             data, offsets = K.flat(batch.column(2))
             for i, _, raw, offs in K.blocks(data, offsets):
                 w = K.Words(raw, offs, K.SPACED)
-                s = Segments(w, width)
+                s = Segments(w, width, hot.value)
                 if not len(s):
                     continue
                 doc = w.doc[s.first]
                 row = pa.array(i + doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(s.key.view(np.int64)), pa.array((s.first - w.first[doc]).astype(np.int32))], ["a", "b", "key", "first"])
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(s.key.view(np.int64)), pa.array(s.more.astype(np.uint32).view(np.int32)), pa.array((s.first - w.first[doc]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "more", "first"])
 
     return run
 
@@ -389,7 +524,7 @@ def _remove(width: int, keep_text: bool):
                     bits = np.array([x["bits"] for x in found], np.int64).view(np.uint64)
                     which = (bits[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(bool)
                     begins = (at[:, None] + np.arange(width))[which]
-                    left = ~K.covered(b - a, np.unique(begins), width)
+                    left = ~K.covered(b - a, K.different(begins), width)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], ~left, [0]]).astype(np.int8)))
                     span = [{"first": int(p), "last": int(q)} for p, q in edge.reshape(-1, 2)]
                 gone[i + d] = b - a - int(left.sum())
@@ -405,27 +540,32 @@ def _remove(width: int, keep_text: bool):
     return run
 
 
-def find_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
-    """key, bits: hashes of segments that have repeated windows, and which."""
+def find_repeats(docs: DataFrame, width: int = 35, hot: Shared | None = None) -> DataFrame:
+    """key, more, bits: names of segments that have repeated windows, and which."""
     read = texts(docs).select("text")
     spark = docs.sparkSession
+    hot = hot or Shared(spark.sparkContext, hot_anchors(read, width))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expansion = 1 + 2 * width / (width - ANCHOR + 2)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * expansion / SHARD_BYTES))
-    sent = read.mapInArrow(_send(width, shards), "shard int, blob binary")
-    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(width), "key long, bits long")
+    expansion, least = 1 + 2 * width / (width - ANCHOR + 2), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(least, math.ceil(size * expansion / SHARD_BYTES))
+    sent = read.mapInArrow(_send(width, shards, hot), "shard long, blob binary")
+    dealt = sent.repartition(min(shards, max(TASKS, least)), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_search(width), "key long, more int, bits long")
 
 
 def dedup(docs: DataFrame, width: int = 35, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (ranges of words) and kept_text of each row."""
     if not ANCHOR < width <= 64:
         raise ValueError("width must be 7 to 64")
-    keyed = texts(docs).withColumns({"a": F.xxhash64("doc_id", "text"), "b": F.xxhash64(F.lit(7919), "doc_id", "text")})
-    mine = keyed.select("a", "b", "text").mapInArrow(_cut(width), "a long, b long, key long, first int")
-    hits = mine.join(find_repeats(docs, width), "key").groupBy("a", "b").agg(F.collect_set(F.struct("first", "bits")).alias("hits"))
-    packed = keyed.select("doc_id", "text", "a", "b").mapInArrow(_pack_texts, "doc_id long, blob binary, a long, b long")
+    read = texts(docs)
+    hot = Shared(docs.sparkSession.sparkContext, hot_anchors(read.select("text"), width))
+    keyed = read.withColumns({"a": F.xxhash64("doc_id", "text"), "b": F.xxhash64(F.lit(7919), "doc_id", "text")})
+    mine = keyed.select("a", "b", "text").mapInArrow(_cut(width, hot), "a long, b long, key long, more int, first int")
+    hits = mine.join(find_repeats(docs, width, hot), ["key", "more"]).groupBy("a", "b").agg(F.collect_set(F.struct("first", "bits")).alias("hits"))
+    kind = id_type(docs)
+    packed = keyed.select("doc_id", "text", "a", "b").mapInArrow(_pack_texts, f"doc_id {kind}, blob binary, a long, b long")
     out = packed.join(hits, ["a", "b"], "left").select("doc_id", "blob", "hits")
-    return out.mapInArrow(_remove(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,last:int>>, kept_text string")
+    return out.mapInArrow(_remove(width, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,last:int>>, kept_text string")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

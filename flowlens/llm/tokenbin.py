@@ -1,11 +1,13 @@
 """Token ids as binary files: Simple-8b, word-aligned, in blocks that decode alone.
 
-Encoding. Texts are dealt out by ranges of doc_id, so each task writes one
-shard of consecutive documents. A text is tokenised by the tokenizers library.
-A pre-token never holds white space after another character, so a text may be
-cut before each run of white space and the parts' ids put together; each
-different part is encoded once by a worker, which keeps what it knows from task
-to task. ``END`` closes every document.
+Encoding. Texts are dealt out by ranges of doc_id, then of a 128-bit key of the
+row for equal and null ids, so each task writes shards of consecutive documents,
+of about ``FILE_IDS`` ids each; the number of tasks follows the bytes of text. A
+text is tokenised by the tokenizers library. A pre-token never holds white space
+after another character, so a text may be cut before each run of white space and
+the parts' ids put together; each different part is encoded once by a worker,
+which keeps what it knows from task to task and compares it by bytes. ``END``
+closes every document.
 
 A shard file, all little-endian:
 
@@ -23,16 +25,20 @@ missing is zero and the number of ids tells.
 Recovery. A task writes to a name of its own and returns it; only files that
 the returned manifest names count, so an attempt that failed or ran twice does
 no harm. The manifest has one row for a shard. Files go to
-``spark.checkpoint.dir`` through pyarrow's file systems.
+``spark.checkpoint.dir`` through pyarrow's file systems; they are the result, and
+whoever asked for them removes them.
 
 Null and empty texts have one id, END. Equal rows are each written. Null doc_ids
-come first and stay null. An empty table makes no file and no row.
+come first and stay null; equal ids stand in the order of their keys. Ids are
+whole numbers, as the format holds them; others raise ValueError. An empty table
+makes no file and no row.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import math
 import os
 import uuid
 import zlib
@@ -45,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import shared_dir, texts
+from .common import shared_dir, texts, whole_ids
 from .wordpiece import byte_alphabet
 
 #: The file's marks, the end id, and the selectors of Simple-8b.
@@ -53,8 +59,10 @@ MAGIC, END = b"FLOWS8B1", 2
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 BLOCK_IDS = 1024
-#: Ids that are encoded at once, and parts of texts that a task remembers.
+#: Ids that are encoded at once, and parts of texts that a worker remembers.
 RUN, MEMO = 1 << 18, 600_000
+#: Ids of a file, about; bytes of text of a task at most and at least, but for skewed ranges.
+FILE_IDS, MOST_BYTES, LEAST_BYTES = 1 << 26, 256 << 20, 4 << 20
 
 
 def bit_widths(ids: np.ndarray) -> np.ndarray:
@@ -182,26 +190,32 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads a file: doc_ids, nulls and counts of its documents, and ids of any of them."""
+    """Reads a file: doc_ids, nulls and counts of its documents, and ids of any of them. Blocks are read when they are asked for."""
 
-    def __init__(self, raw: bytes | pa.Buffer):
-        whole = np.frombuffer(raw, np.uint8)
-        if bytes(whole[:8]) != MAGIC or bytes(whole[-8:]) != MAGIC:
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.file = pa.BufferReader(source) if isinstance(source, bytes) else source
+        size = self.file.size()
+        if size < 40 or self._at(0, 8) != MAGIC or self._at(size - 8, 8) != MAGIC:
             raise ValueError("not a whole shard file")
-        blocks, docs, self.total = np.frombuffer(whole[-32:-8], "<i8").tolist()
-        at = len(whole) - 32 - 17 * docs
-        self.doc_ids = np.frombuffer(whole[at : at + 8 * docs], "<i8")
-        self.nulls = whole[at + 8 * docs : at + 9 * docs].astype(bool)
-        self.counts = np.frombuffer(whole[at + 9 * docs : at + 17 * docs].tobytes(), "<i8")
-        self.offsets = np.frombuffer(whole[at - 8 * (blocks + 1) : at], "<i8")
-        self.words = np.frombuffer(whole[8 : 8 + 8 * int(self.offsets[-1])], "<u8")
+        blocks, docs, self.total = np.frombuffer(self._at(size - 32, 24), "<i8").tolist()
+        tables = self._at(size - 32 - 17 * docs - 8 * (blocks + 1), 17 * docs + 8 * (blocks + 1))
+        at = 8 * (blocks + 1)
+        self.offsets = np.frombuffer(tables, "<i8", blocks + 1)
+        self.doc_ids = np.frombuffer(tables, "<i8", docs, at)
+        self.nulls = np.frombuffer(tables, "u1", docs, at + 8 * docs).astype(bool)
+        self.counts = np.frombuffer(tables[at + 9 * docs :], "<i8")
         self.ends = np.cumsum(self.counts)
 
+    def _at(self, place: int, size: int) -> bytes:
+        self.file.seek(place)
+        return self.file.read(size)
+
     def ids(self, first: int, last: int) -> np.ndarray:
-        """Ids number first to last - 1; only the blocks that hold them are decoded."""
+        """Ids number first to last - 1; only the blocks that hold them are read."""
         a, b = first // BLOCK_IDS, max(first // BLOCK_IDS, -(-last // BLOCK_IDS))
-        part = self.words[self.offsets[a] : self.offsets[b]]
-        got = decode(part, self.offsets[a : b + 1] - self.offsets[a], min(b * BLOCK_IDS, self.total) - a * BLOCK_IDS)
+        low, high = int(self.offsets[a]), int(self.offsets[b])
+        part = np.frombuffer(self._at(8 + 8 * low, 8 * (high - low)), "<u8")
+        got = decode(part, self.offsets[a : b + 1] - low, min(b * BLOCK_IDS, self.total) - a * BLOCK_IDS)
         return got[first - a * BLOCK_IDS : last - a * BLOCK_IDS]
 
 
@@ -250,10 +264,10 @@ class PartEncoder:
         """Where parts begin: at documents, and at ASCII white space after what surely is none."""
         space = _SPACE[raw]
         at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        return np.unique(np.concatenate([offs[:-1][offs[:-1] < len(raw)], at[~self._odd(raw, at)]]))
+        return K.different(np.concatenate([offs[:-1][offs[:-1] < len(raw)], at[~self._odd(raw, at)]]))
 
     def _fresh(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Encodes parts and returns their places in the pool: offset << 24 | length.
+        """Encodes parts and returns their places in the pool: offset << 32 | length.
 
         Parts that begin with white space and don't end in it are encoded in a
         row, as their ids are the same so, and told apart by their bytes. Those
@@ -292,7 +306,7 @@ class PartEncoder:
                 self.pool = np.concatenate([self.pool[: self.pooled], np.zeros(max(len(ids), self.pooled), np.uint32)])
             self.pool[self.pooled : self.pooled + len(ids)] = ids
             self.pooled += len(ids)
-        return places << 24 | own
+        return places << 32 | own
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a block, number of each document's)."""
@@ -303,81 +317,109 @@ class PartEncoder:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
         ends = np.append(begins[1:], len(raw))
-        w = K.Words(raw, offs, _SPACE)  # for its hashes of ranges
-        keys, at, inverse = np.unique(w.ranges(begins, ends), return_index=True, return_inverse=True)
+        w, places = K.Words(raw, offs, _SPACE), np.empty(len(begins), np.int64)
         known, pooled = len(self.memo), self.pooled
-        place = self.memo.get(keys, lambda new: self._fresh(raw, begins[at[new]], ends[at[new]]))[inverse]
-        size, place = place & 0xFFFFFF, place >> 24
+        far = ends - begins > K.LONG
+        if len(near := np.flatnonzero(~far)):
+            keys, at, inverse = w.distinct(begins[near], ends[near])
+            at = near[at]
+            places[near] = self.memo.get(w, keys, begins[at], ends[at], lambda new: self._fresh(raw, begins[at[new]], ends[at[new]]))[inverse]
+        if len(self.memo) > known:
+            pooled = self.pooled
+        if far.any():
+            places[far] = self._fresh(raw, begins[far], ends[far])
+        size, place = places & 0xFFFFFFFF, places >> 32
         shift = np.cumsum(size) - size
         ids = self.pool[np.repeat(place - shift, size) + np.arange(int(size.sum()))]
-        if len(self.memo) <= known:  # nothing was added: what was encoded for this block alone may go
-            self.pooled = pooled if len(self.memo) else 0
+        self.pooled = pooled if len(self.memo) else 0  # what was encoded for this block alone goes
         doc = np.searchsorted(offs, begins, "right") - 1
         return ids, np.bincount(doc, size, len(offs) - 1).astype(np.int64)
 
 
+_MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+
+def tasks(size: int, partitions: int) -> int:
+    """Into how many ranges size bytes of text are dealt out: as many as the session's shuffles have, while they are neither tiny nor large."""
+    return max(1, min(partitions, math.ceil(size / LEAST_BYTES)), math.ceil(size / MOST_BYTES))
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> list[dict]:
     """Writes docs (doc_id, text) and returns the manifest: a row for each shard, in order, with the number of ids before it."""
+    if not whole_ids(docs):
+        raise ValueError("doc_id must be a whole number")
 
     def run(batches):
         files, base = pafs.FileSystem.from_uri(folder)
-        name, writer, out, encoder = f"{base}/{uuid.uuid4().hex}.s8b", None, None, None
+        part, number, writer, out, name = TaskContext.get().partitionId(), 0, None, None, ""
+        encoder = K.store().get(("parts", tokenizer)) or PartEncoder(tokenizer)
+        K.store()["parts", tokenizer] = encoder
+
+        def closed():
+            n_docs, n_ids = writer.close()
+            out.close()
+            return pa.RecordBatch.from_pylist([{"part": part, "number": number, "name": name, "n_docs": n_docs, "n_ids": n_ids}], _MANIFEST)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if writer is None:
-                files.create_dir(base, recursive=True)
-                out, encoder = files.open_output_stream(name), K.store().get(("parts", tokenizer)) or PartEncoder(tokenizer)
-                K.store()["parts", tokenizer] = encoder
-                writer = ShardWriter(out)
             nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             data, offsets = K.flat(batch.column(1))
             for i, j, raw, offs in K.blocks(data, offsets):
+                if writer is None:
+                    files.create_dir(base, recursive=True)
+                    name = f"{base}/{uuid.uuid4().hex}.s8b"
+                    out = files.open_output_stream(name)
+                    writer = ShardWriter(out)
                 ids, counts = encoder.encode(raw, offs)
-                closed = np.insert(ids.astype(np.uint64), np.cumsum(counts), end)
-                writer.add(doc_ids[i:j], nulls[i:j], counts + 1, closed)
+                closing = np.insert(ids.astype(np.uint64), np.cumsum(counts), end)
+                writer.add(doc_ids[i:j], nulls[i:j], counts + 1, closing)
+                if writer.ids + writer.held >= FILE_IDS:
+                    yield closed()
+                    number, writer = number + 1, None
         if writer is not None:
-            n_docs, n_ids = writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "name": name, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield closed()
 
-    dealt = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = sorted(dealt.mapInArrow(run, "part int, name string, n_docs long, n_ids long").collect())  # a row for each shard
+    read = texts(docs).withColumns({"doc_id": F.col("doc_id").cast("long"), "a": F.xxhash64("doc_id", "text"), "b": F.xxhash64(F.lit(7919), "doc_id", "text")})
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = tasks(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = read.repartitionByRange(n, "doc_id", "a", "b").sortWithinPartitions("doc_id", "a", "b").select("doc_id", "text")
+    rows = sorted(dealt.mapInArrow(run, "part int, number int, name string, n_docs long, n_ids long").collect())  # a row for each shard
     starts = [0, *itertools.accumulate(r["n_ids"] for r in rows)]
     return [{"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "start": s} for r, s in zip(rows, starts, strict=False)]
 
 
 def read(spark: SparkSession, manifest: list[dict], folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in the files, a task for each file."""
-    shards = spark.sparkContext.broadcast(manifest)
+    shards = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])]
 
     def run(batches):
         files, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                with files.open_input_file(shards.value[k]["name"]) as f:
-                    shard = ShardReader(f.read_buffer())
-                step, n = 2048, len(shard.counts)
-                for a in range(0, n, step):
-                    b = min(a + step, n)
-                    first = int(shard.ends[a - 1]) if a else 0
-                    ids = shard.ids(first, int(shard.ends[b - 1]))
-                    at = np.concatenate([[0], shard.ends[a:b] - first]).tolist()
-                    low = ids.astype("<u4")
-                    columns = [
-                        pa.array(shard.doc_ids[a:b], mask=shard.nulls[a:b]),
-                        pa.array(shards.value[k]["start"] + shard.ends[a:b] - shard.counts[a:b]),
-                        pa.array(shard.counts[a:b]),
-                        pa.array([zlib.crc32(low[p:q].tobytes()) for p, q in itertools.pairwise(at)], pa.int64()),
-                    ]
-                    if with_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
-                    yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+            for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with files.open_input_file(name) as f:
+                    shard, a = ShardReader(f), 0
+                    while a < len(shard.counts):
+                        first = int(shard.ends[a - 1]) if a else 0
+                        b = max(a + 1, int(np.searchsorted(shard.ends, first + RUN, "right")))
+                        ids = shard.ids(first, int(shard.ends[b - 1]))
+                        at = np.concatenate([[0], shard.ends[a:b] - first]).tolist()
+                        low = ids.astype("<u4")
+                        columns = [
+                            pa.array(shard.doc_ids[a:b], mask=shard.nulls[a:b]),
+                            pa.array(start + shard.ends[a:b] - shard.counts[a:b]),
+                            pa.array(shard.counts[a:b]),
+                            pa.array([zlib.crc32(low[p:q]) for p, q in itertools.pairwise(at)], pa.int64()),
+                        ]
+                        if with_ids:
+                            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
+                        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+                        a = b
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return spark.range(0, len(manifest), 1, max(1, len(manifest))).mapInArrow(run, schema)
+    return shards.repartition(max(1, len(manifest))).mapInArrow(run, schema)
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, folder: str | None = None, with_ids: bool = False) -> DataFrame:

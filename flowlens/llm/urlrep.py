@@ -18,7 +18,9 @@ domain's rate, with the prior's width.
 
 Counts by host are partial aggregates, so a host with a third of all pages
 costs no more than another; joins by host leave skew to AQE, as the host side is
-distinct. Repeated rows are judged each; labels that repeat count each; null
+distinct. A port is part of a host, but not of its domain and suffix. Suffixes are
+the last label, or the last two where SECOND_LEVEL lists them: a stand-in, to be
+replaced by a public list where one is at hand. Repeated rows are judged each; labels that repeat count each; null
 labels don't. A null page_id has no label.
 """
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_type
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Second-level suffixes under which domains are registered, besides the last label.
@@ -43,13 +45,20 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _bare(name: Column) -> Column:
+    """A host without its port."""
+    return F.regexp_replace(name, r":\d*$", "")
+
+
 def suffix(name: Column) -> Column:
+    name = _bare(name)
     two = F.substring_index(name, ".", -2)
     return F.when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def registered(name: Column) -> Column:
     """The suffix and one label more."""
+    name = _bare(name)
     return F.when(F.substring_index(name, ".", -2).isin(*SECOND_LEVEL), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
@@ -104,8 +113,8 @@ def reputation(hosts: DataFrame) -> DataFrame:
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, good, n: labelled pages of each host, those of hosts without labels too. labels: doc_id is a page's id, quality 1 is good."""
-    told = labels.select(F.col("doc_id").cast("long").alias("page_id"), F.col("quality").cast("int").alias("q")).where("q IS NOT NULL").groupBy("page_id").agg(F.sum(F.when(F.col("q") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("n"))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url").cast("string")).alias("host"))
+    told = labels.select(F.col("doc_id").cast(id_type(pages, "page_id")).alias("page_id"), F.col("quality").cast("int").alias("q")).where("q IS NOT NULL").groupBy("page_id").agg(F.sum(F.when(F.col("q") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("n"))
+    own = pages.select(F.col("page_id").cast(id_type(pages, "page_id")).alias("page_id"), host(F.col("url").cast("string")).alias("host"))
     joined = own.join(told, "page_id", "left")
     return joined.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
@@ -114,7 +123,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, least: floa
     """page_id, host, path, rule, verdict, mean, sd of each page."""
     hosts = reputation(cut(outcomes(pages, labels))).select("host", "mean", "sd")
     url = F.col("url").cast("string")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"))
+    own = pages.select(F.col("page_id").cast(id_type(pages, "page_id")).alias("page_id"), host(url).alias("host"), path(url).alias("path"))
     own = own.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     out = own.join(hosts, "host", "left")
     learnt = F.when(F.col("mean") + z * F.col("sd") < least, "block").otherwise("allow")
@@ -137,7 +146,7 @@ ORACLE = rf"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 told AS (SELECT doc_id AS page_id, count(*) FILTER (quality = 1) AS good, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, coalesce(sum(n), 0)::DOUBLE AS n FROM p LEFT JOIN told USING (page_id) GROUP BY host),
-parts AS (SELECT host, good, n, string_split(host, '.') AS l, array_to_string(string_split(host, '.')[-2:], '.') IN ({", ".join(f"'{x}'" for x in SECOND_LEVEL)}) AS two FROM h),
+parts AS (SELECT *, array_to_string(l[-2:], '.') IN ({", ".join(f"'{x}'" for x in SECOND_LEVEL)}) AS two FROM (SELECT host, good, n, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM h)),
 own AS (SELECT host, good, n, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain, array_to_string(CASE WHEN two THEN l[-2:] ELSE l[-1:] END, '.') AS suffix FROM parts),
 s0 AS (SELECT suffix, sum(good) AS good, sum(n) AS n, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM own) AS prior FROM own GROUP BY suffix),{_level_sql("s1", "s0")},
 d0 AS (SELECT o.suffix, o.domain, sum(o.good) AS good, sum(o.n) AS n, any_value(s1.rate) AS prior FROM own o JOIN s1 USING (suffix) GROUP BY o.suffix, o.domain),{_level_sql("d1", "d0")},

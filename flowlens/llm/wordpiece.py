@@ -7,6 +7,8 @@ byte by byte without building a piece and without going back.
 
 Words are runs of anything but ASCII white space. A word that no sequence of
 pieces spells counts as one unknown token. Null and wordless texts have none.
+Each of repeated rows is counted; null ids stay null; an empty table gives an
+empty result. What a task remembers of words is found by hash and compared by bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
-from .common import texts
+from .common import Shared, id_type, texts
 
 #: A worker forgets words beyond this many.
 MEMO = 2_000_000
@@ -112,7 +114,7 @@ class Automaton:
 
 def count_tokens(docs: DataFrame, vocabulary: tuple[Iterable[bytes], Iterable[bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words and n_tokens of each row. The automaton is broadcast; its size is the vocabulary's."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(*vocabulary))
+    shared = Shared(docs.sparkSession.sparkContext, Automaton(*vocabulary))
 
     def run(batches):
         count, memo = shared.value.count, K.Memo(MEMO)
@@ -123,13 +125,14 @@ def count_tokens(docs: DataFrame, vocabulary: tuple[Iterable[bytes], Iterable[by
                 w = K.Words(raw, offs, K.SPACED)
                 if not len(w):
                     continue
-                keys, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+                keys, at, inverse = w.distinct(w.starts, w.ends)
+                starts, ends = w.starts[at], w.ends[at]
 
-                def fresh(new, w=w, at=at, raw=raw):
-                    return np.array([count(raw[a:b].tobytes()) for a, b in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist(), strict=True)], np.int64)
+                def fresh(new, starts=starts, ends=ends, raw=raw):
+                    return np.array([count(raw[a:b].tobytes()) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], np.int64)
 
                 words[i:j] = w.counts
-                tokens[i:j] = K.per_doc(memo.get(keys, fresh)[inverse], w.first)
+                tokens[i:j] = K.per_doc(memo.get(w, keys, starts, ends, fresh)[inverse], w.first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens)], ["doc_id", "n_words", "n_tokens"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, n_words long, n_tokens long")

@@ -52,7 +52,7 @@ def decontaminate(docs, items, width=13):
         w = ALNUM.findall(fold(text))
         n = min(width, len(w))
         for k in range(len(w) - n + 1) if w else ():
-            found[tuple(w[k : k + n])].add(str(name))
+            found[tuple(w[k : k + n])].add(None if name is None else str(name))
     out = []
     for doc, text in docs:
         w, hit, names = ALNUM.findall(fold(text)), set(), set()
@@ -61,7 +61,7 @@ def decontaminate(docs, items, width=13):
                 if got := found.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
                     names |= got
-        out.append((doc, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((doc, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 
 

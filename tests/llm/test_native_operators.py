@@ -202,8 +202,8 @@ def test_all_elements_of_a_list_tell_its_layout(spark):
     lists = [[a, b], [b, a], [a, {"role": "assistant"}], [a, None], [a, {**a, "content": "z"}], [b, b], []]
     df = spark.createDataFrame([(k, json.dumps({"messages": x})) for k, x in enumerate(lists)], "id long, record string")
     got = {r.conv_id: r for r in chat.canonical_json(df, "id", "record").collect()}
-    assert [got[k].layout for k in range(7)] == [None, None, None, None, "messages", "messages_text", None]
-    assert [got[k].turns is None for k in range(7)] == [True, True, True, True, False, False, True]
+    assert [got[k].layout for k in range(7)] == [None, None, None, None, "messages", "messages_text", "no_messages"]
+    assert [got[k].turns is None for k in range(7)] == [True, True, True, True, False, False, False]
     assert [t.text for t in got[4].turns] == ["x", "z"]
 
 
