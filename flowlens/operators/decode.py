@@ -2,8 +2,8 @@
 
 Everything is a projection, so Catalyst drops the fields that nobody asks for.
 Two modes: ``live`` skips one 802.1Q tag and walks IPv6 extension headers;
-``strict`` skips any number of 802.1Q and 802.1ad tags up to MAX_TAGS, walks none, and wants a
-whole transport header.
+``strict`` skips any number of 802.1Q and 802.1ad tags, walks none, and wants a whole transport
+header. Walks are folds over as many steps as the frame's bytes can hold.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from ..functions.net import ipv4_text, ipv6_text, mac_text
 IPV4, IPV6, ARP, VLAN, QINQ = 0x0800, 0x86DD, 0x0806, 0x8100, 0x88A8
 ICMP, TCP, UDP, ICMPV6 = 1, 6, 17, 58
 FLAGS = {"fin": 0x01, "syn": 0x02, "rst": 0x04, "psh": 0x08, "ack": 0x10, "urg": 0x20}
-MAX_TAGS, MAX_EXTENSIONS = 4, 8
 
 
 def quick_tuple(raw: DataFrame) -> DataFrame:
@@ -31,16 +30,34 @@ def quick_tuple(raw: DataFrame) -> DataFrame:
     return raw.withColumn("quick", F.when((kind == IPV4) & (n >= 34) & (n >= l4 + 4), v4).when((kind == IPV6) & (n >= 58), v6))
 
 
+def _steps(most: Column) -> Column:
+    """As many elements as a walk has steps at most."""
+    return F.array_repeat(F.lit(0), F.greatest(F.coalesce(most, F.lit(0)), F.lit(0)).cast("int"))
+
+
 def _extensions(f: Column, off: Column, first: Column, n: Column, through_icmpv6: bool) -> Column:
-    """(off, next) after at most MAX_EXTENSIONS extension headers from off."""
+    """(off, next) after the extension headers from off, of eight bytes at least."""
     ends = (TCP, UDP, ICMP) if through_icmpv6 else (TCP, UDP, ICMP, ICMPV6)
 
     def step(s: Column, _: Column) -> Column:
         size = (u8(f, s["off"] + 1) + 1) * 8
         stop = s["next"].isin(*ends) | (s["off"] + 8 > n) | (s["off"] + size > n)
-        return F.when(F.coalesce(stop, F.lit(True)), s).otherwise(F.struct((s["off"] + size).cast("int").alias("off"), u8(f, s["off"]).alias("next")))
+        return F.when(s["done"], s).when(F.coalesce(stop, F.lit(True)), F.struct(s["off"].alias("off"), s["next"].alias("next"), F.lit(True).alias("done"))).otherwise(
+            F.struct((s["off"] + size).cast("int").alias("off"), u8(f, s["off"]).alias("next"), F.lit(False).alias("done"))
+        )
+
+    steps = _steps(F.when(~first.isin(*ends), F.floor((n - off) / 8)))
+    start = F.struct(off.cast("int").alias("off"), first.alias("next"), F.lit(False).alias("done"))
+    return F.aggregate(steps, start, step, lambda s: F.struct(s["off"].alias("off"), s["next"].alias("next")))
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSIONS)), F.struct(off.cast("int").alias("off"), first.alias("next")), step)
+def _tags(f: Column) -> Column:
+    """How many tags stand before the EtherType."""
+    tagged = lambda k: F.coalesce(u16(f, F.lit(12) + 4 * k).isin(VLAN, QINQ), F.lit(False))
+    steps = _steps(F.when(tagged(F.lit(0)), F.floor((F.octet_length(f) - 12) / 4)))
+    start = F.struct(F.lit(0).alias("k"), F.lit(False).alias("done"))
+    step = lambda s, _: F.when(s["done"], s).when(tagged(s["k"]), F.struct((s["k"] + 1).alias("k"), F.lit(False).alias("done"))).otherwise(F.struct(s["k"].alias("k"), F.lit(True).alias("done")))
+    return F.aggregate(steps, start, step, lambda s: s["k"])
 
 
 def _struct(**fields: Column) -> Column:
@@ -51,12 +68,7 @@ def _decoded(f: Column, mode: str, trim_padding: bool, through_icmpv6: bool) ->
     """One struct of all fields. Each layer is a struct too, bound once for the next."""
     strict = mode == "strict"
     n = F.octet_length(f)
-    if strict:
-        tags = F.lit(0)
-        for k in range(MAX_TAGS):
-            tags = F.when((tags == k) & u16(f, 12 + 4 * k).isin(VLAN, QINQ), k + 1).otherwise(tags)
-    else:
-        tags = F.when(u16(f, 12) == VLAN, 1).otherwise(0)
+    tags = _tags(f) if strict else F.when(u16(f, 12) == VLAN, 1).otherwise(0)
 
     def network(e: Column) -> Column:
         l3 = e["off"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.binary import latin, let, part, u8, u16, uint
 from ..functions.web import http_host
 
-MAX_EXTENSIONS = 32
 PEER_PREFIX = b"\x13BitTorrent protocol"
 #: QUIC versions besides drafts.
 QUIC_VERSIONS = (0x00000001, 0x6B3343CF)
@@ -18,6 +17,9 @@ def _walk(p: Column, first: Column) -> Column:
     """The name in the extensions whose total length stands at first - 2."""
 
     def step(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(further(s))
+
+    def further(s: Column) -> Column:
         return let(F.struct(u16(p, s["off"]).alias("kind"), u16(p, s["off"] + 2).alias("size"), (s["off"] + 4).alias("body")), lambda x: look(s, x))
 
     def look(s: Column, x: Column) -> Column:
@@ -29,13 +31,14 @@ def _walk(p: Column, first: Column) -> Column:
 
     end = F.least(F.octet_length(p).cast("bigint"), first + u16(p, first - 2))
     start = F.struct(first.alias("off"), end.alias("end"), F.lit(None).cast("binary").alias("name"), first.isNull().alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSIONS)), start, step, lambda s: s["name"])
+    steps = F.array_repeat(F.lit(0), F.coalesce(F.greatest(F.floor((end - first) / 4), F.lit(0)), F.lit(0)).cast("int"))
+    return F.aggregate(steps, start, step, lambda s: s["name"])
 
 
 def sni(payload: Column) -> Column:
     """Server name of a ClientHello, null if there is none. An empty name is found as such.
 
-    A fold over at most MAX_EXTENSIONS extensions; payloads that don't begin as a ClientHello aren't walked.
+    A fold over as many extensions as there are bytes for; payloads that don't begin as a ClientHello aren't walked.
     """
 
     def found(p: Column) -> Column:

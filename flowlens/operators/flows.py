@@ -1,7 +1,8 @@
 """Flows: keys, aggregates, reassembly, state as of a packet, sessions.
 
-Per-flow folds run in a group-by that keeps only packets with a payload, and
-join back; running state is a window over the flow in order of seq_num.
+What holds from some packet on is found once for each flow, by partial
+aggregates, as the seq_num it begins at, and joined back: the flow's side of the
+join is distinct, so AQE splits a flow that holds a third of all packets.
 """
 
 from __future__ import annotations
@@ -9,23 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.apps import GENERIC, app_of_host
-from ..functions.binary import let
+from ..functions.apps import GENERIC, NAMES, app_name, app_of_host
+from ..functions.binary import let, part
 from .extract import is_peer, sni
 
 #: Bytes that are reassembled at most: beyond, a flow isn't looked into any more.
 MAX_BUFFER = 16384
-#: Payload bytes of a flow in which nothing was found, after which it isn't looked into any more: bounds a flow's list.
-LOOK_BYTES = 16 << 20
 KEY = ("ip_a", "port_a", "ip_b", "port_b", "ip_proto")
 
 
-def canonical(packets: DataFrame, compat_zero_key: bool = False) -> DataFrame:
+def _turned(ip: Column) -> Column:
+    """The bytes of an IPv4 address, the last first; others as they are."""
+    return F.when(F.octet_length(ip) == 4, F.concat(*(part(ip, k, 1) for k in (3, 2, 1, 0)))).otherwise(ip)
+
+
+def canonical(packets: DataFrame, compat_zero_key: bool = False, compat_le: bool = False) -> DataFrame:
     """packets with the key of their flow, the same in both directions: the lesser (address, port) first.
 
-    ICMP has ports 0. compat_zero_key: all of ICMP is one flow of no address.
+    ICMP has ports 0. compat_zero_key: all of ICMP is one flow of no address. compat_le: IPv4 addresses are held, and compared, last byte first.
     """
-    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.coalesce(F.col(port), F.lit(0)).alias("port"))
+    held = _turned if compat_le else lambda ip: ip
+    end = lambda ip, port: F.struct(held(F.col(ip)).alias("ip"), F.coalesce(F.col(port), F.lit(0)).alias("port"))
     a, b = end("src_ip", "src_port"), end("dst_ip", "dst_port")
     out = packets.withColumns({"_a": F.least(a, b), "_b": F.greatest(a, b)})
     key = {"ip_a": F.hex("_a.ip"), "port_a": F.col("_a.port"), "ip_b": F.hex("_b.ip"), "port_b": F.col("_b.port")}
@@ -92,18 +97,35 @@ def _fold() -> Column:
     return F.aggregate(F.array_sort(F.col("segments")), empty, step)
 
 
+def _near(packets: DataFrame, firsts: DataFrame, by: list[str]) -> DataFrame:
+    """TCP segments that may be taken, of packets with a payload: what is reassembled begins at the flow's first_seq and ends within MAX_BUFFER.
+
+    So a flow's list holds a window of MAX_BUFFER bytes, however long the flow. Next to the end of the number range all
+    are kept: a number that comes out as 0 counts as none.
+    """
+    offset = F.pmod(F.col("tcp_seq") - F.col("first_seq"), F.lit(4294967296))
+    return packets.join(firsts, by).where((offset <= MAX_BUFFER) | (F.col("first_seq") > 4294967296 - MAX_BUFFER - 65536)).drop("first_seq")
+
+
+def _firsts(packets: DataFrame, by: list[str]) -> DataFrame:
+    return packets.groupBy(*by).agg(F.min_by("tcp_seq", "seq_num").alias("first_seq"))
+
+
 def inspect(packets: DataFrame, key: tuple[str, ...] = KEY, per_direction: bool = False) -> DataFrame:
     """A row for each flow in which something was found: found_at (seq_num), sni, dpi_app.
 
-    A flow's list of segments holds its first LOOK_BYTES of payload, of a flow of any length.
+    UDP payloads are looked into one by one, TCP ones as they are reassembled.
     """
-    seen = packets.where((F.col("payload_len") > 0) & (F.col("has_tcp") | F.col("has_udp")))
     by = [*key, *(["src_ip", "src_port"] if per_direction else [])]
-    before = F.sum("payload_len").over(Window.partitionBy(*by).orderBy("seq_num").rowsBetween(Window.unboundedPreceding, -1))
-    seen = seen.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= LOOK_BYTES)
-    segment = F.struct("seq_num", F.coalesce("tcp_seq", F.lit(0)).alias("tcp_seq"), F.col("has_tcp").alias("tcp"), "payload")
-    folded = seen.groupBy(*by).agg(F.collect_list(segment).alias("segments")).withColumn("state", _fold())
-    out = folded.where("state.at IS NOT NULL").select(*by, F.col("state.at").alias("found_at"), F.col("state.sni").alias("sni"), F.when(F.col("state.peer"), "BitTorrent").otherwise(app_of_host(F.col("state.sni"))).alias("dpi_app"))
+    seen = packets.where("payload_len > 0").select(*by, "seq_num", "has_tcp", "has_udp", "tcp_seq", "payload")
+    tcp = seen.where("has_tcp").withColumn("tcp_seq", F.coalesce("tcp_seq", F.lit(0)))
+    segment = F.struct("seq_num", "tcp_seq", F.lit(True).alias("tcp"), "payload")
+    folded = _near(tcp, _firsts(tcp, by), by).groupBy(*by).agg(F.collect_list(segment).alias("segments")).withColumn("state", _fold())
+    found = folded.where("state.at IS NOT NULL").select(*by, F.col("state.at").alias("found_at"), F.col("state.sni").alias("sni"), F.col("state.peer").alias("peer"))
+    alone = seen.where("has_udp").select(*by, "seq_num", sni(F.col("payload")).alias("sni"), is_peer(F.col("payload")).alias("peer")).where("sni IS NOT NULL OR peer")
+    first = F.min_by(F.struct(F.col("seq_num").alias("found_at"), "sni", (F.col("sni").isNull() & F.col("peer")).alias("peer")), "seq_num").alias("s")
+    found = found.unionByName(alone.groupBy(*by).agg(first).select(*by, "s.*"))
+    out = found.select(*by, "found_at", "sni", F.when(F.col("peer"), "BitTorrent").otherwise(app_of_host(F.col("sni"))).alias("dpi_app"))
     if per_direction:
         first = F.min_by(F.struct("found_at", "sni", "dpi_app"), "found_at").alias("s")
         out = out.groupBy(*key).agg(first).select(*key, "s.*")
@@ -126,17 +148,43 @@ def reassembled(packets: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
             (s["bytes"] + F.when(taken, x["payload_len"]).otherwise(0)).alias("bytes"), (s["segments"] + F.when(taken, 1).otherwise(0)).alias("segments"), (s["full"] | over).alias("full"),
         )
 
-    folded = seen.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(segment)), start, step).alias("s"))
+    folded = _near(seen, _firsts(seen, list(key)), list(key)).groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(segment)), start, step).alias("s"))
     return folded.select(*key, F.col("s.bytes").alias("buffered"), F.col("s.segments").alias("segments"), F.col("s.full").alias("gave_up"))
 
 
+#: Numbers of applications that a packet tells by itself.
+_OWN = {name: k for k, name in enumerate(NAMES) if name not in GENERIC}
+
+
+def own_app(key: tuple[str, ...] = KEY) -> list[Column]:
+    """Aggregates of a flow: own_at (seq_num) and own_app of the first packet that tells an application by itself."""
+    number = F.create_map(*(F.lit(x) for pair in _OWN.items() for x in pair))[F.col("pkt_app")]
+    at = F.when(number.isNotNull(), F.col("seq_num"))
+    return [F.min(at).alias("own_at"), app_name(F.min_by(number, at)).alias("own_app")]
+
+
+def join_flows(packets: DataFrame, facts: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """packets with their flow's facts, which have a row for each flow. Packets of no flow are spread, so their null key is no hot one."""
+    spread = F.coalesce(F.col(key[0]), F.concat(F.lit("~"), F.pmod(F.xxhash64("seq_num"), F.lit(65536))))
+    names = {k: f"_{k}" for k in key}
+    side = facts.withColumnsRenamed(names).withColumnRenamed(names[key[0]], "_first")
+    on = (spread == F.col("_first")) & F.lit(True)
+    for k in key[1:]:
+        on = on & (F.col(k) == F.col(names[k]))
+    return packets.join(side, on, "left").drop("_first", *names.values())
+
+
+def state(packets: DataFrame) -> DataFrame:
+    """packets that have their flow's facts, with sni_asof and app_asof."""
+    known, own = F.col("seq_num") >= F.col("found_at"), F.col("seq_num") >= F.col("own_at")
+    return packets.withColumns({"sni_asof": F.when(known, F.col("sni")), "app_asof": F.coalesce(F.when(known, F.col("dpi_app")), F.when(own, F.col("own_app")), F.lit("Unknown"))})
+
+
 def as_of(packets: DataFrame, found: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """packets with sni_asof and app_asof: what is known of the flow once a packet has been seen."""
-    joined = packets.join(found, list(key), "left")
-    known = F.col("seq_num") >= F.col("found_at")
-    run = Window.partitionBy(*key).orderBy("seq_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.first(F.when(~F.col("pkt_app").isin(*GENERIC), F.col("pkt_app")), ignorenulls=True).over(run)
-    return joined.withColumns({"sni_asof": F.when(known, F.col("sni")), "app_asof": F.coalesce(F.when(known, F.col("dpi_app")), own, F.lit("Unknown"))}).drop("found_at", "sni", "dpi_app")
+    own = packets.groupBy(*key).agg(*own_app(key)).where("own_at IS NOT NULL")
+    facts = found.join(own, list(key), "full")
+    return state(join_flows(packets, facts, key)).drop("found_at", "sni", "dpi_app", "own_at", "own_app")
 
 
 def sessions(packets: DataFrame, key: tuple[str, ...] = KEY, gap_us: int = 60_000_000) -> DataFrame:

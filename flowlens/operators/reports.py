@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .decode import decode, quick_tuple
+from .rates import percentiles
+from .rules import RuleSet
+
 TOP_DOMAINS, TOP_FLOWS, TOP_JSON, TOP_IPS, IP_LIST, ALERTS, CHART = 8, 5, 50, 10, 8, 100, 60
 
 
@@ -58,8 +62,8 @@ def protocol_mix(packets: DataFrame) -> DataFrame:
 def domains(flows: DataFrame) -> DataFrame:
     """domain, packets of all its flows, share of all domains' packets in percent."""
     per = flows.where("sni <> ''").groupBy(F.col("sni").alias("domain")).agg(F.sum("pkt_count").alias("packets"))
-    total = per.agg(F.sum("packets")).first()[0]
-    return per.withColumn("share", 100.0 * F.col("packets") / F.lit(total))
+    total = per.agg(F.sum("packets").alias("_total"), F.lit(1).alias("_one"))  # a row
+    return per.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("domain", "packets", (100.0 * F.col("packets") / F.col("_total")).alias("share"))
 
 
 def top(rows: DataFrame, by: str, name: str | list[str], n: int) -> DataFrame:
@@ -83,6 +87,26 @@ def rule_matches(judged: DataFrame) -> DataFrame:
     return judged.where("first_reason IS NOT NULL").groupBy(F.col("first_reason").alias("type")).agg(F.count("*").alias("hits"))
 
 
+def rule_hits(judged: DataFrame, rules: RuleSet) -> DataFrame:
+    """type, rule, hits: packets that each rule decided, first in their flow."""
+    per = judged.where("first_rule IS NOT NULL").groupBy("first_rule").agg(F.count("*").alias("hits"))
+    names = judged.sparkSession.createDataFrame([(k, t, v) for k, (t, v) in enumerate(rules.rows())], "first_rule int, type string, rule string")
+    return per.join(F.broadcast(names), "first_rule").select("type", "rule", "hits")
+
+
+def rejects(raw: DataFrame) -> DataFrame:
+    """rejected_by, packets: frames that the reader's pre-filter rejects, those that only the parser does, and the rest."""
+    by = F.when(F.col("quick").isNull(), "reader").when(F.col("parse_status") != "ok", "parser").otherwise("none")
+    return decode(quick_tuple(raw), fields=("parse_status",)).groupBy(by.alias("rejected_by")).agg(F.count("*").alias("packets"))
+
+
+def snapshot(totals: DataFrame, latencies: DataFrame) -> DataFrame:
+    """totals (a row: packets, dropped) with avg_latency_ms, the median of a histogram of microseconds, and drop_pct of all that came."""
+    p50 = percentiles(latencies).select((F.col("p50_us") / 1000).alias("avg_latency_ms"), F.lit(1).alias("_one"))
+    share = _ratio(F.col("dropped"), F.col("packets") + F.col("dropped"), 100.0).alias("drop_pct")
+    return totals.select("packets", "dropped", share, F.lit(1).alias("_one")).join(F.broadcast(p50), "_one").drop("_one")  # a row each
+
+
 def alerts(rows: DataFrame, n: int = ALERTS) -> DataFrame:
     """The newest."""
     return rows.orderBy(F.desc("ts_us"), F.desc("seq_num")).limit(n)
@@ -112,6 +136,23 @@ def proxy(requests: DataFrame) -> DataFrame:
     return requests.where("r IS NOT NULL").groupBy(F.col("r.host").alias("host")).agg(F.count("*").alias("requests"), F.sum("size").alias("bytes"))
 
 
+def proxy_summary(requests: DataFrame, blocked: Column, n: int = TOP_DOMAINS) -> DataFrame:
+    """A row: connections, requests, blocked, bytes and the n hosts with most requests, of parsed requests (connection, r, size)."""
+    seen = requests.where("r IS NOT NULL")
+    totals = seen.agg(F.countDistinct("connection").alias("connections"), F.count("*").alias("requests"), F.count_if(blocked).alias("blocked"), F.sum("size").alias("bytes"), F.lit(1).alias("_one"))
+    hosts = top(proxy(requests), "requests", "host", n).agg(F.sort_array(F.collect_list(F.struct("requests", "host")), asc=False).alias("top_hosts"), F.lit(1).alias("_one"))  # n rows
+    return totals.join(F.broadcast(hosts), "_one").drop("_one")
+
+
+def views(judged: DataFrame, flows: DataFrame, rules: RuleSet) -> dict[str, DataFrame]:
+    """What a dashboard's endpoints serve, by name."""
+    return {
+        "stats": stats(judged), "metrics": metrics(judged), "stages": stages(judged), "bottleneck": bottleneck(stages(judged)), "protocols": protocol_mix(judged), "flows": flow_json(flows),
+        "alerts": alerts(judged.where("blocked").select("seq_num", "ts_us", "src_ip_str", "dst_ip_str", "first_reason")), "rules": rule_hits(judged, rules),
+        "domains": top(domains(flows), "packets", "domain", TOP_DOMAINS), "ips": top(by_ip(judged), "packets", "ip", TOP_IPS),
+    }
+
+
 def summary_text(judged: DataFrame, flows: DataFrame) -> str:
     """The report that a console shows. It collects counters and top lists, a few rows each."""
     s = stats(judged).first()

@@ -4,7 +4,7 @@ There is one frame for each event: Ethernet II, IPv4, then TCP, UDP or ICMP.
 A user is a client; its events of one protocol and service are a flow,
 odd events go the other way. The first TCP event to port 443 that a client sends
 carries a ClientHello; before it the flow has no payload. Port 80 carries
-requests, port 6881 a peer's handshake, port 53 a name query.
+requests, PEER_PORT a peer's handshake, port 53 a name query.
 """
 
 from __future__ import annotations
@@ -14,22 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import be
 
-#: Services by user, with their addresses.
+#: Services by user, one for each step of the application ladder, at addresses that are kept for documentation.
 SERVICES = (
-    ("142.250.185.206", "www.youtube.com"),
-    ("157.240.1.35", "www.facebook.com"),
-    ("198.45.48.56", "www.netflix.com"),
-    ("140.82.121.4", "github.com"),
-    ("104.244.42.65", "twitter.com"),
-    ("31.13.92.36", "instagram.com"),
-    ("52.6.183.74", "www.amazon.com"),
-    ("40.76.4.15", "microsoft.com"),
-    ("104.16.124.96", "cloudflare.com"),
+    ("192.0.2.10", "v3.ytimg.example"),
+    ("192.0.2.77", "fonts.gstatic.example"),
+    ("198.51.100.20", "pics.instagram.example"),
+    ("198.51.100.21", "img.fbcdn.example"),
+    ("198.51.100.99", "s1.nflxvideo.example"),
+    ("203.0.113.5", "d9.cloudfront.example"),
+    ("203.0.113.40", "login.azure.example"),
+    ("203.0.113.70", "pbs.twimg.example"),
+    ("203.0.113.80", "edge.cloudflare.example"),
+    ("203.0.113.200", "raw.github.example"),
 )
-CLIENT_MAC, SERVER_MAC = "005056c00008", "000c294f8b35"
-PEER = b"\x13BitTorrent protocol" + b"\0" * 8
+CLIENTS, PEER_PORT = 10 << 24 | 20 << 16, 6999
+CLIENT_MAC, SERVER_MAC = "02005e100001", "02005e100002"
+PEER = b"\x13BitTorrent protocol" + bytes(range(8))
 #: A query's head: id, recursion desired, one question.
-QUERY = bytes.fromhex("0042010000010000000000000667676767676703636f6d0000010001")
+QUERY = bytes.fromhex("00420100000100000000000006") + b"lookup" + b"\x07example" + bytes.fromhex("0000010001")
 
 
 def _number(address: str) -> int:
@@ -45,7 +47,7 @@ def client_hello(host: Column) -> Column:
     """A TLS record with a ClientHello that names host: 32 bytes of random, no session, one cipher."""
     size = F.octet_length(host)
     name = F.concat(be(F.lit(0), 2), be(size + 5, 2), be(size + 3, 2), F.unhex(F.lit("00")), be(size, 2), F.encode(host, "UTF-8"))
-    body = F.concat(F.unhex(F.lit("0303" + "ab" * 32 + "00" + "0002c02f" + "0100")), be(size + 9, 2), name)
+    body = F.concat(F.unhex(F.lit("0303" + "5c" * 32 + "00" + "0002c02f" + "0100")), be(size + 9, 2), name)
     length = size + 52
     return F.concat(F.unhex(F.lit("160301")), be(length + 4, 2), F.unhex(F.lit("01")), be(length, 3), body)
 
@@ -60,23 +62,25 @@ def with_micros(events: DataFrame) -> DataFrame:
 def traffic(events: DataFrame) -> DataFrame:
     """The columns of each packet: seq_num, ts, proto, addresses, ports, flags, tcp_seq, host, kind, payload."""
     e = F.col("event_id")
-    service = F.col("user_id") % 9
+    service = F.col("user_id") % len(SERVICES)
     proto = F.when(e % 20 == 0, 1).when((e % 20).between(1, 3), 17).otherwise(6)
-    port = F.when(proto == 17, 53).when(F.col("event_type") == "signup", 80).when(F.col("event_type") == "error", 6881).otherwise(443)
+    port = F.when(proto == 17, 53).when(F.col("event_type") == "signup", 80).when(F.col("event_type") == "error", PEER_PORT).otherwise(443)
     out = with_micros(events).select(
         (e + 1).alias("seq_num"), F.col("event_id"), F.col("user_id"), F.col("ts"), F.col("ts_us"), F.coalesce("props", F.lit("")).alias("props"), proto.cast("int").alias("proto"),
-        (F.lit(192 << 24 | 168 << 16) + (F.col("user_id").cast("long") / 250).cast("long") % 256 * 256 + F.col("user_id") % 250 + 1).cast("long").alias("client"),
+        (F.lit(CLIENTS) + (F.col("user_id").cast("long") / 250).cast("long") % 256 * 256 + F.col("user_id") % 250 + 1).cast("long").alias("client"),
         _pick(service, [_number(a) for a, _ in SERVICES]).cast("long").alias("server"),
         F.when(proto == 1, 0).otherwise(40000 + F.col("user_id")).cast("int").alias("client_port"),
         F.when(proto == 1, 0).otherwise(port).cast("int").alias("server_port"),
         (e % 2 == 0).alias("outbound"),
         _pick(service, [h for _, h in SERVICES]).alias("host"),
     )
+    # The events are one file: dealt out here, all that follows runs on as many tasks as the session's shuffles have.
+    out = out.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
     secure = (F.col("proto") == 6) & (F.col("server_port") == 443)
     hello = F.min(F.when(secure & F.col("outbound"), F.col("event_id"))).over(Window.partitionBy("user_id"))
     out = out.withColumn("hello_id", hello)
     kind = (
-        F.when(F.col("proto") == 1, "icmp").when(F.col("proto") == 17, "dns").when(F.col("server_port") == 80, "http").when(F.col("server_port") == 6881, "peer")
+        F.when(F.col("proto") == 1, "icmp").when(F.col("proto") == 17, "dns").when(F.col("server_port") == 80, "http").when(F.col("server_port") == PEER_PORT, "peer")
         .when(F.col("event_id") == F.col("hello_id"), "hello").when(F.col("event_id") > F.col("hello_id"), "data").otherwise("bare")
     )
     out = out.withColumn("kind", kind)
@@ -115,14 +119,14 @@ def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same packets in SQL: the columns of traffic(), sizes, and what decoding should find.
 SQL = f"""
-e AS (SELECT event_id, event_id + 1 AS seq_num, user_id, ts, epoch_us(ts) AS ts_us, coalesce(props, '') AS props, event_type, user_id % 9 AS svc, event_id % 2 = 0 AS outbound,
+e AS (SELECT event_id, event_id + 1 AS seq_num, user_id, ts, epoch_us(ts) AS ts_us, coalesce(props, '') AS props, event_type, user_id % {len(SERVICES)} AS svc, event_id % 2 = 0 AS outbound,
       CASE WHEN event_id % 20 = 0 THEN 1 WHEN event_id % 20 BETWEEN 1 AND 3 THEN 17 ELSE 6 END AS proto FROM events),
-f AS (SELECT *, CAST({192 << 24 | 168 << 16} + user_id // 250 % 256 * 256 + user_id % 250 + 1 AS BIGINT) AS client,
+f AS (SELECT *, CAST({CLIENTS} + user_id // 250 % 256 * 256 + user_id % 250 + 1 AS BIGINT) AS client,
       CAST([{", ".join(str(_number(a)) for a, _ in SERVICES)}][svc + 1] AS BIGINT) AS server, [{", ".join(f"'{h}'" for _, h in SERVICES)}][svc + 1] AS host,
       CASE WHEN proto = 1 THEN 0 ELSE 40000 + user_id END AS client_port,
-      CASE WHEN proto = 1 THEN 0 WHEN proto = 17 THEN 53 WHEN event_type = 'signup' THEN 80 WHEN event_type = 'error' THEN 6881 ELSE 443 END AS server_port FROM e),
+      CASE WHEN proto = 1 THEN 0 WHEN proto = 17 THEN 53 WHEN event_type = 'signup' THEN 80 WHEN event_type = 'error' THEN {PEER_PORT} ELSE 443 END AS server_port FROM e),
 g AS (SELECT *, min(CASE WHEN proto = 6 AND server_port = 443 AND outbound THEN event_id END) OVER (PARTITION BY user_id) AS hello_id FROM f),
-k AS (SELECT *, CASE WHEN proto = 1 THEN 'icmp' WHEN proto = 17 THEN 'dns' WHEN server_port = 80 THEN 'http' WHEN server_port = 6881 THEN 'peer'
+k AS (SELECT *, CASE WHEN proto = 1 THEN 'icmp' WHEN proto = 17 THEN 'dns' WHEN server_port = 80 THEN 'http' WHEN server_port = {PEER_PORT} THEN 'peer'
       WHEN event_id = hello_id THEN 'hello' WHEN event_id > hello_id THEN 'data' ELSE 'bare' END AS kind FROM g),
 p AS (SELECT seq_num, event_id, user_id, ts, ts_us, ts_us // 1000000 AS ts_sec, proto, outbound, host, kind, client, server, props,
       CASE WHEN outbound THEN client ELSE server END AS sip, CASE WHEN outbound THEN server ELSE client END AS dip,

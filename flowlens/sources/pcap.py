@@ -9,6 +9,12 @@ Files begin with a 24-byte header (microseconds, either byte order). A record
 that claims more than ``maxIncl`` bytes, or that is cut off, ends its file. A
 file is read by one task: captures scale by their number. Paths go through
 pyarrow's file systems, so they may be URIs.
+
+``seq_num`` is one order over all files: the file's rank times 2 ** FILE_BITS, and
+the record's number in it, from 1. A batch ranks files by the time of their first record,
+then by name; a stream by name, as it can't know what is still to come. So rotated
+captures are one sequence, as one file would be. The writer takes a partition's
+rows as they come; ``save`` sorts them by seq_num before.
 """
 
 from __future__ import annotations
@@ -16,11 +22,13 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -28,6 +36,8 @@ SCHEMA = "file string, seq_num bigint, ts timestamp, ts_sec bigint, ts_usec int,
 #: Magic numbers, version, link type of Ethernet, limits.
 MAGIC, VERSION, ETHERNET, SNAPLEN, MAX_INCL = 0xA1B2C3D4, (2, 4), 1, 65535, 65535
 BATCH = 4096
+#: Bits of a record's number in its file; ranks are above them.
+FILE_BITS = 36
 
 _KINDS = pa.schema([("file", pa.string()), ("seq_num", pa.int64()), ("ts", pa.timestamp("us", tz="UTC")), ("ts_sec", pa.int64()), ("ts_usec", pa.int32()), ("incl_len", pa.int32()), ("orig_len", pa.int32()), ("frame", pa.binary())])
 
@@ -73,9 +83,24 @@ def records(path: str, max_incl: int = MAX_INCL) -> Iterator[tuple[int, int, int
             yield sec, usec, incl, orig, frame
 
 
-def batches(path: str, max_incl: int = MAX_INCL) -> Iterator[pa.RecordBatch]:
+def _started(path: str) -> tuple[int, int, str]:
+    """Time of a file's first record, and its name: files without one come first."""
+    for sec, usec, *_ in records(path, 1 << 32):
+        return sec, usec, path
+    return -1, 0, path
+
+
+def in_order(paths: list[str]) -> list[str]:
+    """Files by the time of their first record, then by name; a header and a record of each are read."""
+    if len(paths) < 2:
+        return paths
+    with ThreadPoolExecutor(32) as pool:
+        return [path for *_, path in sorted(pool.map(_started, paths))]
+
+
+def batches(path: str, max_incl: int = MAX_INCL, rank: int = 0) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    for seq, (sec, usec, incl, orig, frame) in enumerate(records(path, max_incl), 1):
+    for seq, (sec, usec, incl, orig, frame) in enumerate(records(path, max_incl), (rank << FILE_BITS) + 1):
         rows.append((path, seq, sec * 1_000_000 + usec, sec, usec, incl, orig, frame))
         if len(rows) == BATCH:
             yield _batch(rows)
@@ -103,6 +128,7 @@ def record(sec: int, usec: int, frame: bytes, orig_len: int | None = None, snapl
 class File(InputPartition):
     path: str
     max_incl: int
+    rank: int
 
 
 class _Reader(DataSourceReader):
@@ -110,33 +136,38 @@ class _Reader(DataSourceReader):
         self.path, self.max_incl = options["path"], int(options.get("maxIncl", MAX_INCL))
 
     def partitions(self) -> list[File]:
-        return [File(p, self.max_incl) for p in list_files(self.path)]
+        return [File(p, self.max_incl, k) for k, p in enumerate(in_order(list_files(self.path)))]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        return batches(partition.path, partition.max_incl)
+        return batches(partition.path, partition.max_incl, partition.rank)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets count the folder's files by name, so new captures need names that sort after the old."""
+    """Offsets count the folder's files by name, so new captures need names that sort after the old.
+
+    A restarted query isn't told where it stopped before its first batch, so that batch takes all files there are, whatever maxFilesPerTrigger says.
+    """
 
     def __init__(self, options: dict):
         self.path, self.max_incl = options["path"], int(options.get("maxIncl", MAX_INCL))
-        self.most, self.seen = int(options.get("maxFilesPerTrigger", 0)), 0
+        self.most = int(options.get("maxFilesPerTrigger", 0))
+        self.seen: int | None = None
 
     def initialOffset(self) -> dict:
+        self.seen = 0
         return {"files": 0}
 
     def latestOffset(self) -> dict:
         n = len(list_files(self.path))
-        self.seen = min(n, self.seen + self.most) if self.most else n
+        self.seen = min(n, self.seen + self.most) if self.most and self.seen is not None else n
         return {"files": self.seen}
 
     def partitions(self, start: dict, end: dict) -> list[File]:
-        self.seen = max(self.seen, end["files"])
-        return [File(p, self.max_incl) for p in list_files(self.path)[start["files"] : end["files"]]]
+        self.seen = max(self.seen or 0, end["files"])
+        return [File(p, self.max_incl, k) for k, p in enumerate(list_files(self.path)) if start["files"] <= k < end["files"]]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        return batches(partition.path, partition.max_incl)
+        return batches(partition.path, partition.max_incl, partition.rank)
 
     def commit(self, end: dict) -> None:
         pass
@@ -206,6 +237,12 @@ class PcapSource(DataSource):
         return _Writer(schema, self.options, overwrite)
 
 
+def save(packets: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Writes packets (seq_num, ts_sec, ts_usec, orig_len, frame) as capture files, the records of each in order of seq_num."""
+    rows = packets.select("seq_num", "ts_sec", "ts_usec", "orig_len", "frame").sortWithinPartitions("seq_num")
+    rows.write.format("pcap").mode(mode).options(**options).save(path)
+
+
 def interfaces() -> list[tuple[str, str]]:
     """(name, description) of this machine's network devices."""
     import socket
