@@ -116,5 +116,11 @@ def near_classes(docs, threshold=0.8):
     return [least.get(top(i)) if sets[i] or (text or "").strip() else doc for i, (doc, text) in enumerate(docs)]
 
 
+def thue_morse(n, a, b):
+    """n letters, and the same with both letters swapped: sums of powers of any odd base can't tell them modulo 2 ** 64."""
+    t = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join((a, b)[x] for x in t), "".join((b, a)[x] for x in t)
+
+
 def key(rows):
     return sorted(map(repr, rows))

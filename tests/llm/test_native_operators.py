@@ -95,6 +95,23 @@ def test_the_mix_of_empty_tables_and_its_rows(spark):
     assert rows(out.where(r"text rlike '[^ \\t\\n]'").groupBy("doc_id").agg(F.count("*").alias("n"))) == rows(want)
 
 
+def test_a_text_of_two_sources_is_two_rows(spark):
+    same = [f"word{k} " * 20 for k in range(50)]
+    docs = spark.createDataFrame([(k, t, "en", s, 1) for k, t in enumerate(same) for s in ("s1", "s2")], H.SCHEMA)
+    want = {r.source: r.target for r in mixing.targets(mixing.sized(docs)).collect()}
+    got = {r.source: r.n for r in mixing.apply_mix(docs).groupBy("source").agg((20 * F.count("*")).alias("n")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 10 for s in want)
+
+
+@pytest.mark.parametrize("weight", ["1.0", "1 / 3.0D", "1 / 21.0D", "if(doc_id % 3 = 0, 1.0D, 0.05D)", "0.001D + doc_id / 20000.0D", "if(doc_id % 2 = 0, 0, null)"])
+def test_ranges_are_of_even_size_for_all_weights(spark, weight, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 200)
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    rows_ = mixing.sized(docs, F.expr(weight))
+    sizes = [r["count"] for r in mixing.mix(rows_, mixing.targets(rows_)).groupBy("range").count().collect()]
+    assert sum(sizes) == 20000 and len(sizes) >= 95 and max(sizes) <= 600
+
+
 def test_main_paths_run_no_python(spark, sf):
     docs, pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "pages", "labels"))
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
@@ -140,6 +157,11 @@ def test_bad_hosts_are_blocked_and_small_ones_shrink(spark):
     assert got["new.bad.org"].mean < got["fine.site.org"].mean
 
 
+def test_ports_are_part_of_hosts_only(spark):
+    r = spark.createDataFrame([("a.b.co.uk:8080",), ("x.y.net:1",), ("net",)], "h string").select(urlrep.suffix(F.col("h")).alias("s"), urlrep.registered(F.col("h")).alias("d")).collect()
+    assert [tuple(x) for x in r] == [("co.uk", "b.co.uk"), ("net", "y.net"), ("net", "net")]
+
+
 def test_the_filter_is_that_of_sql(spark, sf):
     pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     assert rows(urlrep.digest(urlrep.judge(pages, labels))) == asked(urlrep.ORACLE, pages=pages, labels=labels)
@@ -197,6 +219,23 @@ def test_fingerprints_choose_mappings(spark):
     assert chat.canonical(columns, "id", ["prompt"]).first().turns is None
 
 
+def test_rows_of_many_layouts_in_one_table(spark):
+    """Each row fills the fields of its layout; fields that no layout names don't count; what no layout fits is kept."""
+    kind = "id long, source string, prompt string, completion string, messages array<struct<role:string,content:string,name:string>>"
+    table = [
+        (1, "x", "p", "c", None), (2, "y", None, None, [("user", "u", "n"), ("assistant", "a", None)]), (3, None, "p", None, None), (4, "z", "p", "c", [("user", "u", None)]),
+        (5, None, None, None, []), (6, None, None, None, [("user", "u", None), ("assistant", None, None)]), (7, None, None, None, [("user", "u", None), None]),
+    ]
+    got = chat.canonical(spark.createDataFrame(table, kind), "id", ["source", "prompt", "completion", "messages"])
+    by = {r.conv_id: r for r in got.collect()}
+    assert [by[k].layout for k in range(1, 8)] == ["prompt_completion", "messages", None, None, "no_messages", None, None]
+    assert [(t.role, t.text) for t in by[2].turns] == [("user", "u"), ("assistant", "a")]
+    out = {r.conv_id: r.formatted for r in chat.format_records(got).collect()}
+    assert len(out) == 7 and out[5] == "" and [k for k in sorted(out) if out[k] is None] == [3, 4, 6, 7]
+    extra = spark.createDataFrame([(1, json.dumps({"id": 7, "meta": {"a": [1]}, "prompt": "p", "completion": "c"}))], "id long, j string")
+    assert chat.canonical_json(extra, "id", "j").first().layout == "prompt_completion"
+
+
 def test_all_elements_of_a_list_tell_its_layout(spark):
     a, b = {"role": "user", "content": "x"}, {"role": "assistant", "text": "y"}
     lists = [[a, b], [b, a], [a, {"role": "assistant"}], [a, None], [a, {**a, "content": "z"}], [b, b], []]

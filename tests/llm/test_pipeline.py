@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -39,6 +42,34 @@ def test_run_is_what_plain_stages_give(spark, sf):
     assert len(want) > 20 and H.key(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == H.key(want)
 
 
+def test_workers_need_no_copy_of_the_package(sf, tmp_path):
+    """A driver that finds the package by its own path alone: workers don't inherit that."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.driver.memory", "2g").getOrCreate()
+spark.range(1).mapInPandas(lambda it: it, "id long").collect()
+for name, f in entry.queries().items():
+    if name.startswith(("op1_", "op2", "op4", "op5", "op9", "op10")):
+        print(name, f(spark, {sf!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": p} if (p := _tools()) else {})
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600, check=False)
+    assert out.returncode == 0, out.stderr[-3000:]
+    assert len([x for x in out.stdout.splitlines() if x.startswith("op")]) == 6
+
+
+def _tools():
+    """Where the tokenizers' files are found, if that is no installed package."""
+    import public_tokenizers
+
+    folder = os.path.dirname(os.path.abspath(public_tokenizers.__file__))
+    return "" if "site-packages" in folder else folder if os.path.basename(public_tokenizers.__file__) != "__init__.py" else os.path.dirname(folder)
+
+
 def test_stages_keep_the_columns_of_documents(spark, tmp_path, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import types
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -12,8 +13,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from flowlens.llm import decontam, kernel, neardup, quality, substr, tokenbin, toxicity, wordpiece
+from flowlens.llm import decontam, kernel, mixing, neardup, quality, substr, tokenbin, toxicity, wordpiece
 
 from . import helpers as H
 
@@ -80,6 +82,30 @@ def test_spans_are_removed_and_documents_dropped(spark):
     assert [r.doc_id for r in decontam.drop_contaminated(docs, bench(spark, [(9, "one two three")])).collect()] == [2]
 
 
+def test_ids_may_be_texts_and_benchmarks_large(spark):
+    docs = H.awkward(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    items = spark.createDataFrame([(None if k is None else f"i{k}", t) for k, t in ITEMS], "item_id string, text string")
+    named = [(None if k is None else f"d{k}", t) for k, t in pairs()]
+    want = H.decontaminate(named, [(None if k is None else f"i{k}", t) for k, t in ITEMS])
+    assert rows(decontam.digest(decontam.judge(docs, items))) == H.key(want)
+    bad = {(r[0], t) for r, (_, t) in zip(want, named, strict=True) if r[5]}
+    left = sorted(str(k) for k, t in named if (k, t) not in bad)
+    for mb in (32, 0.0001):
+        kept = decontam.drop_contaminated(docs, items, slice_mb=mb)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == left
+
+
+def test_other_operators_take_ids_that_are_texts(spark):
+    docs = H.documents(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    labels = spark.createDataFrame([("d1", 1, 0), ("d6", 1, 1)], "doc_id string, quality int, toxic int")
+    n = len(H.ROWS)
+    assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == n and quality.judge(docs).count() == n
+    assert substr.dedup(docs).count() == n and wordpiece.count_tokens(docs, ({b"a"}, {b"a"})).count() == n
+    assert {r.class_id for r in neardup.classes(docs).where("doc_id = 'd2'").collect()} == {"d1"} and mixing.digest(docs).count() == n
+    with pytest.raises(ValueError, match="whole number"):
+        tokenbin.encode_corpus(docs, TOKENIZER)
+
+
 # --- 2 ---
 
 
@@ -106,8 +132,86 @@ def test_the_automaton_finds_what_distances_find():
         assert m.match(w) == (min(found) if found else None) if w else True
 
 
+def quoted(text):
+    """Which tokens lie in a pair of quotation marks, by a reader of characters."""
+    out, spans = set(), []
+    tokens = [(m.group(), k) for k, m in enumerate(H.SPACED.finditer(text.lower()))]
+    for opening, closing, either in (toxicity.DOUBLE, toxicity.SINGLE):
+        begun = None
+        for token, k in tokens:
+            word = toxicity.clean(token)
+            before, after = token.split(word, 1) if word else (token, token)
+            opens, closes = any(c in opening + either for c in before), any(c in closing + either for c in after)
+            if not word:
+                any_ = any(c in opening + closing + either for c in token)
+                opens, closes = any_ and begun is None, any_ and begun is not None
+            elif opening == toxicity.SINGLE[0] and word in toxicity.ELISIONS:
+                opens = False
+            if opens:
+                begun = k
+            if closes and begun is not None:
+                spans.append((begun, k))
+                begun = None
+    for a, b in spans:
+        out |= {k for k in range(a, b + 1) if a >= k - toxicity.WINDOW and b <= k + toxicity.WINDOW}
+    return out
+
+
+TERMS = [("idiot", False, 60, 0), ("disgusting", False, 40, 1), ("scum", False, 30, 1), ("vermi", True, 50, 0)]
+
+
+def plain_features(model, text):
+    """FEATURES by all distances, term by term."""
+    found, tokens = [], H.SPACED.findall(H.fold(text))
+    inside = quoted(H.fold(text))
+    for k, token in enumerate(tokens):
+        word, best = toxicity.clean(token), None
+        for n, (term, stem, _, _) in enumerate(model.terms):
+            most = toxicity.errors_allowed(term) if model.weight(n, None) >= toxicity.FIRM else 0
+            for x in [word[:i] for i in range(1, len(word) + 1)] if stem else [word]:
+                if x and (e := distance(term, x)) <= most:
+                    best = min(best or (9, 9), (e, n))
+        if best:
+            found.append((k, best, model.misspelt(best[1], None) if best[0] else model.weight(best[1], None)))
+    use = [(k, w, model.terms[n][1]) for k, (_, n), w in found if k not in inside]
+    dense = max((sum(w for j, w, _ in use if k - toxicity.DENSE < j <= k) for k, _, _ in use), default=0.0)
+    share = sum(w for _, w, _ in use) / len(tokens) if tokens else 0.0
+    quoted_ = sum(w for k, _, w in found if k in inside)
+    return [np.log1p(sum(w for _, w, s in use if not s)), max((w for _, w, _ in use), default=0.0), np.log1p(sum(w for _, w, s in use if s)), np.log1p(quoted_), np.log1p(dense), np.log1p(100 * share)]
+
+
+SAYINGS = [
+    ('you are an "idiot" he said', 1), ('"nice" you are an idiot "really"', 0), ("'tis you idiot of the dogs' home", 0), ("they said 'you idiot' to me", 1), ("« an idiot » is said", 1), ("“you idiot”", 1), ("the idiots' \"team\" idiot", 0),
+    ('idiot" and "then', 0), ("don't idiot can't", 0), ('" idiot "', 1), ('"a b c d e f g h i idiot j"', 0), ("„scum“ and scum", 0), ("idiot. \"Scum! vermin\" 'em idiots'", 0), ("disgustin disgustingg idoit vermyn", 0), ("", 0), (None, 0),
+]
+
+
+def test_scores_are_those_of_a_plain_reader(spark):
+    rng = random.Random(6)
+    model = toxicity.Model(TERMS, (100, 100))
+    model.near, model.weights = [(0, 0), (1, 3), (0, 0), (0, 1)], np.array([1.0, 0.3, 0.8, -1.5, 0.4, 0.2, -2.0])
+    some = ["idiot", "idiots", "idot", "disgusting", "disgustin", "scum", "skum", "vermin", "vermyn", "the", "a", "don't", "'tis", "dogs'", '"', "'", "home."]
+    mark = lambda w: rng.choice(["", "", "", '"', "'", "«", "“"]) + w + rng.choice(["", "", "", '"', "'", "»", "”", "!", ',"'])
+    texts = [t for t, _ in SAYINGS] + [" ".join(mark(rng.choice(some)) for _ in range(rng.randint(1, 60))) for _ in range(150)] + [r[1] for r in H.ROWS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for k, text in enumerate(texts):
+        want = plain_features(model, text or "")
+        assert np.allclose([got[k][f] for f in toxicity.FEATURES], want), text
+        assert abs(got[k].score - 1 / (1 + np.exp(-(np.dot(want, model.weights[:-1]) + model.weights[-1])))) < 1e-9
+        assert got[k].predicted == (got[k].score >= 0.7) and got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+    for k, (text, is_quoted) in enumerate(SAYINGS):
+        assert not text or (got[k].quoted > 0 and got[k].use + got[k].stems == 0) == bool(is_quoted), text
+
+
+def test_misspelt_terms_count_alike_at_every_size():
+    small, large = toxicity.Model([("pathetic", False, 40, 0)], (200, 2000)), toxicity.Model([("pathetic", False, 400, 0)], (2000, 20000))
+    small.near, large.near = [(0, 2)], [(0, 20)]
+    assert abs(small.misspelt(0, None) - large.misspelt(0, None)) < 0.4 and small.misspelt(0, None) > 1
+
+
 def test_held_out_accuracy(spark):
-    """Learnt words, misspelt ones and quotations; labels that are held out aren't learnt from."""
+    """Learnt words and misspelt ones; labels that are held out aren't learnt from."""
     rng = random.Random(5)
     plain = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 8))) for _ in range(400)]
     bad = ["worthless", "pathetic", "clownish", "disgusting"]
@@ -175,6 +279,25 @@ def test_files_hold_all_documents_in_order(spark, tmp_path):
     assert tokenbin.encode_corpus(H.documents(spark, []), TOKENIZER, str(tmp_path / "none")).count() == 0
 
 
+def test_shards_are_bounded_and_ties_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "FILE_IDS", 50_000)
+    table = [(k % 3 if k % 5 else None, f"text {k} " * (k % 40 * 40)) for k in range(400)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    runs = []
+    for k in range(2):
+        manifest = tokenbin.write(docs.repartition(3 + k), TOKENIZER, f"file://{tmp_path}/{k}")
+        got = tokenbin.read(spark, manifest, f"file://{tmp_path}/{k}").orderBy("start").collect()
+        assert len(manifest) > 4 and max(m["n_ids"] for m in manifest) < 400_000 and sum(m["n_docs"] for m in manifest) == 400
+        runs.append([tuple(r) for r in got])
+    assert runs[0] == runs[1]
+    assert [r[0] for r in runs[0]] == sorted((r[0] for r in table), key=lambda x: (x is not None, x))
+
+
+def test_tasks_follow_the_bytes():
+    assert tokenbin.tasks(0, 200) == 1 and tokenbin.tasks(100 << 20, 200) == 25 and tokenbin.tasks(10 << 30, 200) == 200
+    assert tokenbin.tasks(100 * 10**12, 200) == -(-100 * 10**12 // tokenbin.MOST_BYTES)
+
+
 def test_single_documents_are_read_without_the_rest(tmp_path):
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 50257, n).astype(np.uint64) for n in (0, 1, 5000, 3, 70000, 2)]
@@ -200,6 +323,35 @@ def test_quality_figures(spark):
     assert quality.judge(H.documents(spark, [])).count() == 0
 
 
+def test_base_rules_and_verdicts(spark):
+    """base_failed by the plain figures; kept by the posterior that the estimate's numbers give, rule by rule."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(300)]
+    table = list(H.ROWS)
+    for k in range(150):
+        w = [rng.choice(vocabulary) + ("." if rng.random() < 0.08 else "") for _ in range(rng.choice([5, 19, 20, 60, 200]))]
+        table.append((100 + k, " ".join([*w, *rng.choice([[], ["#|$"] * 20, w[:9] * 6, ["SHOUT"] * 30, ["12345"] * 40])]), "", "", 0))
+    judged = quality.judge(H.documents(spark, table)).collect()
+    votes, counts = np.unique([r.votes for r in judged], axis=0, return_counts=True)
+    share, odds = quality.estimate(votes, counts.astype(float))
+    by_text = {(r.doc_id, r.n_chars, r.word_chars): r for r in judged}
+    assert 0 < share < 1 and len(by_text) > 100
+    for doc, text, *_ in table:
+        n, chars, _, _, repeats = H.figures(text)
+        r = by_text[doc, len(text or ""), chars]
+        failed = n < 20 or 100 * repeats > 30 * n
+        p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + sum(odds[i][v + 1] for i, v in enumerate(r.votes)))))
+        assert r.base_failed == failed and abs(r.p_good - p) < 1e-9 and r.kept == (not failed and r.p_good >= 0.5)
+
+
+def test_em_finds_small_shares_of_good_documents():
+    rng = np.random.default_rng(2)
+    good = rng.random(20000) < 0.2
+    votes = np.stack([np.where(rng.random(20000) < p, good, ~good).astype(int) for p in (0.95, 0.9, 0.9, 0.85, 0.8)], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    assert abs(quality.estimate(patterns, counts.astype(float))[0] - 0.2) < 0.05
+
+
 def test_em_finds_good_rules_without_labels():
     rng = np.random.default_rng(0)
     n, good = 4000, None
@@ -289,6 +441,46 @@ def test_all_pairs_of_a_bucket_are_tested(spark, monkeypatch, block):
     assert rows(got) == H.key((r[0], c) for r, c in zip(table, H.near_classes(table), strict=True))
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """Three hundred variants of a text, and ten more pairs of near copies."""
+    rng = random.Random(11)
+    base, table = [f"c{k}" for k in range(300)], []
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.randint(2, 9)):
+            w[rng.randrange(300)] = f"n{rng.randrange(10**9)}"
+        table.append((k, " ".join(w)))
+    for k in range(10):
+        w = [f"o{k}x{j}" for j in range(200)]
+        table += [(500 + 2 * k, " ".join(w)), (501 + 2 * k, " ".join([*w[:-3], "end"]))]
+    got = neardup.classes(H.documents(spark, [(*r, "", "", 0) for r in table]))
+    assert rows(got) == H.key((r[0], c) for r, c in zip(table, H.near_classes(table), strict=True))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of multisets, words repeated, whose similarity is just 0.8 or a little more."""
+    rng, table, want = random.Random(12), [], 0
+    for k in range(200):
+        w = [f"r{k}n{rng.randrange(60)}" for _ in range(rng.choice([120, 300]))]
+        other, size = list(w), 0
+        while True:
+            size += 1
+            nearer = [*w[:-size], *(f"s{k}n{j}" for j in range(size))]
+            a, b = H.multiset(" ".join(w)), H.multiset(" ".join(nearer))
+            if sum((a & b).values()) < 0.8 * sum((a | b).values()):
+                break
+            other = nearer
+        want += 1
+        table += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    assert joined(table, neardup.classes(H.documents(spark, [(*r, "", "", 0) for r in table])).collect()) >= 0.98 * want
+
+
+def test_rows_that_differ_elsewhere_are_rows(spark):
+    docs = H.documents(spark, [(1, "a b c d e f", "en", "s2", 1), (1, "a b c d e f", "en", "s1", 2), (None, "", "en", "s1", 0), (None, "", "de", "s1", 0)])
+    seen = {tuple(neardup.keep_one(docs.repartition(n)).where("doc_id = 1").first()) for n in (1, 2, 3)}
+    assert len(seen) == 1 and neardup.keep_one(docs).count() == 3
+
+
 def test_one_row_of_each_class_stays(spark):
     table = near_table()
     docs = H.awkward(spark, [(*r, "", "", 0) for r in table])
@@ -299,9 +491,10 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(c) for c in {c for r, c in zip(table, classes, strict=True) if (r[1] or "").strip()}] + [str(r[0]) for r in free])
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [neardup.SMALL, 0])
+def test_components_of_chains_and_stars(spark, small):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(7, 7), (200, 199)]
-    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "u long, v long"), small).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 120), 100), 199: 199, 200: 199}
 
 
@@ -350,6 +543,38 @@ def test_repeated_passages_are_removed(spark):
     assert substr.dedup(H.documents(spark, [])).count() == 0
 
 
+def test_hot_anchors_and_long_texts(spark, monkeypatch):
+    """A line that stands in every document, in different surroundings, and words taken in small pieces."""
+    monkeypatch.setattr(substr, "HOT_SEGMENTS", 5)
+    monkeypatch.setattr(substr, "PIECE", 50)
+    rng = random.Random(8)
+    line = [f"hot{k}" for k in range(12)]
+    table = []
+    for k in range(60):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(80)]
+        table.append((k, " ".join([*own[:40], *line, *own[40:], *line, *(table[k // 2][1].split()[30:70] if k % 7 == 6 else [])])))
+    docs = H.documents(spark, [(*r, "", "", 0) for r in table])
+    assert len(substr.hot_anchors(docs.select("text").coalesce(1), 35)) > 0
+    assert rows(substr.digest(substr.dedup(docs.coalesce(1)))) == H.key(H.remove_repeats(table))
+
+
+def test_marks_are_those_of_a_list():
+    rng = np.random.default_rng(3)
+    for n, p in ((1, 1.0), (64, 0.5), (65, 0.01), (1000, 0.003), (500, 0.9), (129, 0.0)):
+        edge = rng.random(n) < p
+        edge[0] = True
+        starts = np.flatnonzero(edge)
+        group = np.cumsum(edge) - 1
+        low, high = substr.Marks(edge).around(np.arange(n))
+        assert np.array_equal(low, starts[group]) and np.array_equal(high, np.append(starts[1:], n)[group])
+
+
+def test_copies_of_segments_are_merged_in_a_task():
+    a = np.array([5, 6], np.uint32), np.array([False, False]), np.array([3, 2], np.uint32), b"a bcc"
+    anchors, many, sizes, data = substr.merged([a, a, (np.array([7], np.uint32), np.array([False]), np.array([1], np.uint32), b"z")])
+    assert anchors.tolist() == [5, 6, 7] and many.tolist() == [True, True, False] and sizes.tolist() == [3, 2, 1] and data == b"a bccz"
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_the_index_finds_all_windows(seed):
     rng = random.Random(seed)
