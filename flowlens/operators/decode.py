@@ -1,6 +1,7 @@
 """Frames to packets: Ethernet, VLAN, IPv4, IPv6 with extension headers, TCP, UDP, ICMP.
 
-Everything is a projection, so Catalyst drops the fields that nobody asks for.
+Frames are decoded by numpy over Arrow batches (wire.py), or, where no Python
+workers are wanted, by expressions (``arrow=False``). Addresses' texts are projections either way.
 Two modes: ``live`` skips one 802.1Q tag and walks IPv6 extension headers;
 ``strict`` skips any number of 802.1Q and 802.1ad tags, walks none, and wants a whole transport
 header. Walks are folds over as many steps as the frame's bytes can hold.
@@ -10,13 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.binary import let, part, u8, u16, u32, uint
 from ..functions.net import ipv4_text, ipv6_text, mac_text
+from . import wire
 
-#: EtherTypes, protocols, flags.
-IPV4, IPV6, ARP, VLAN, QINQ = 0x0800, 0x86DD, 0x0806, 0x8100, 0x88A8
-ICMP, TCP, UDP, ICMPV6 = 1, 6, 17, 58
+IPV4, IPV6, ARP, VLAN, QINQ = wire.IPV4, wire.IPV6, wire.ARP, wire.VLAN, wire.QINQ
+ICMP, TCP, UDP, ICMPV6 = wire.ICMP, wire.TCP, wire.UDP, wire.ICMPV6
+#: Flags.
 FLAGS = {"fin": 0x01, "syn": 0x02, "rst": 0x04, "psh": 0x08, "ack": 0x10, "urg": 0x20}
 
 
@@ -54,7 +58,7 @@ def _extensions(f: Column, off: Column, first: Column, n: Column, through_icmpv6
 def _tags(f: Column) -> Column:
     """How many tags stand before the EtherType."""
     tagged = lambda k: F.coalesce(u16(f, F.lit(12) + 4 * k).isin(VLAN, QINQ), F.lit(False))
-    steps = _steps(F.when(tagged(F.lit(0)), F.floor((F.octet_length(f) - 12) / 4)))
+    steps = _steps(F.when(tagged(F.lit(0)), F.floor((F.octet_length(f) - 12) / 4) + 1))
     start = F.struct(F.lit(0).alias("k"), F.lit(False).alias("done"))
     step = lambda s, _: F.when(s["done"], s).when(tagged(s["k"]), F.struct((s["k"] + 1).alias("k"), F.lit(False).alias("done"))).otherwise(F.struct(s["k"].alias("k"), F.lit(True).alias("done")))
     return F.aggregate(steps, start, step, lambda s: s["k"])
@@ -117,18 +121,40 @@ def _decoded(f: Column, mode: str, trim_padding: bool, through_icmpv6: bool) ->
     return let(link, lambda e: let(network(e), lambda i: let(transport(e, i), lambda t: fields(e, i, t))))
 
 
-def decode(raw: DataFrame, mode: str = "live", trim_padding: bool = False, through_icmpv6: bool = False, fields: tuple[str, ...] | None = None) -> DataFrame:
+#: Columns of decode(), and those that are texts made of others.
+_TEXTS = {
+    "dst_mac": (("dst_mac_raw",), lambda: mac_text(F.col("dst_mac_raw"))),
+    "src_mac": (("src_mac_raw",), lambda: mac_text(F.col("src_mac_raw"))),
+    "src_ip_str": (("ip_version", "src_ip4", "src_ip"), lambda: F.when(F.col("ip_version") == 4, ipv4_text(F.col("src_ip4"))).when(F.col("ip_version") == 6, ipv6_text(F.col("src_ip")))),
+    "dst_ip_str": (("ip_version", "dst_ip4", "dst_ip"), lambda: F.when(F.col("ip_version") == 4, ipv4_text(F.col("dst_ip4"))).when(F.col("ip_version") == 6, ipv6_text(F.col("dst_ip")))),
+}
+COLUMNS = (
+    "dst_mac", "src_mac", "eth_type", "vlan_depth", "ip_version", "ip_total_len", "ip_id", "ttl", "is_fragment", "ip_proto", "src_ip", "dst_ip", "src_ip4", "dst_ip4", "has_tcp", "has_udp", "has_icmp", "src_port", "dst_port",
+    "tcp_seq", "tcp_ack", "tcp_flags", "window_size", "payload_off", "src_ip_str", "dst_ip_str", "payload", "pkt_app", "payload_len", "parse_status",
+)
+
+
+def decode(raw: DataFrame, mode: str = "live", trim_padding: bool = False, through_icmpv6: bool = False, fields: tuple[str, ...] | None = None, arrow: bool = True) -> DataFrame:
     """raw (with frame) and its decoded columns, or those of fields. parse_status: ok or malformed.
 
-    The columns come out of one generator: a filter or an inferred key condition
-    stays above it as a test of a column, while pushed through a projection it would
-    repeat all that the column is made of. So fields that aren't wanted are named here.
+    Fields that aren't wanted are best named here, as neither way leaves Catalyst any to drop.
     """
-    def wanted(f: Column) -> Column:
-        whole = _decoded(f, mode, trim_padding, through_icmpv6)
-        return whole if fields is None else let(whole, lambda d: F.struct(*(d[c].alias(c) for c in fields)))
-
-    return raw.select(*raw.columns, F.inline(F.array(let(F.col("frame"), wanted))))
+    wanted = COLUMNS if fields is None else tuple(c for c in COLUMNS if c in fields)
+    if arrow:
+        needed = {x for c in wanted for x in (_TEXTS[c][0] if c in _TEXTS else (c,))}
+        names = tuple(c for c in wire.KINDS if c in needed)
+        # Raw columns that are named as decoded ones give way.
+        kept = [c for c in raw.columns if c not in wanted and c not in needed]
+        held = raw.select(*(F.col(f"`{c}`") for c in kept))
+        kind = T.StructType([*held.schema.fields, *(T.StructField(c, from_arrow_type(wire.KINDS[c])) for c in names)])
+        run = wire.decoder(kept.index("frame"), names, strict=mode == "strict", trim_padding=trim_padding, through_icmpv6=through_icmpv6)
+        return held.mapInArrow(run, kind).select(*kept, *(_TEXTS[c][1]().alias(c) if c in _TEXTS else F.col(c) for c in wanted))
+
+    def picked(f: Column) -> Column:
+        return let(_decoded(f, mode, trim_padding, through_icmpv6), lambda d: F.struct(*(d[c].alias(c) for c in wanted)))
+
+    # One generator: a filter stays above it as a test of a column, while pushed through a projection it would repeat all that the column is made of.
+    return raw.select(*raw.columns, F.inline(F.array(let(F.col("frame"), picked))))
 
 
 def flag_names(flags: Column) -> Column:

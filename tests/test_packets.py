@@ -60,6 +60,36 @@ def test_arp_icmp_fragments_options_and_offsets(spark):
     assert (r.src_port, r.payload) == (1, None)
 
 
+def odd_frames(rng):
+    """Whole frames of all kinds, and the same with bytes cut off, added or changed."""
+    out = [T.ethernet(b""), b"", *(f for _, f in T.visits()[::5]), *(f for _, f in T.others())]
+    for _ in range(250):
+        l4 = rng.choice([T.tcp(rng.randrange(65536), 443, b"x" * rng.randrange(9), doff=rng.randrange(16)), T.udp(53, 7, b"q" * rng.randrange(5)), b"\x08\0\0\0", b"", b"\x11\0" + b"\0" * 6 + T.udp(1, 2, b"z")])
+        proto = rng.choice([1, 6, 17, 58, 0, 43, 99])
+        tags = tuple((rng.choice([0x8100, 0x88A8]), rng.randrange(4096)) for _ in range(rng.choice([0, 0, 1, 2, 3])))
+        if rng.random() < 0.5:
+            f = T.ethernet(T.ipv4("10.0.0.1", "10.0.0.2", proto, l4, frag=rng.choice([0, 0x4000, 0x2000, 5]), ihl=rng.choice([5, 5, 6, 15])), tags=tags)
+        else:
+            chain = b"".join(bytes([rng.choice([0, 43, 60, 6, 17]), rng.randrange(3)]) + bytes(6 + 8 * rng.randrange(3)) for _ in range(rng.randrange(4)))
+            f = T.ethernet(struct.pack(">IHBB", 0x60000000, len(chain + l4), rng.choice([proto, 0, 43, 60]), 64) + rng.randbytes(32) + chain + l4, 0x86DD, tags)
+        f = bytearray(f + b"\0" * rng.choice([0, 0, 6]))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            f[rng.randrange(len(f))] = rng.randrange(256)
+        out.append(bytes(f[: rng.randint(0, len(f))] if rng.random() < 0.3 else f))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"mode": "strict"}, {"trim_padding": True, "through_icmpv6": True}])
+def test_both_ways_of_decoding_agree(spark, options):
+    table = raw(spark, odd_frames(random.Random(repr(options))))
+    a, b = (decode(table, arrow=arrow, **options) for arrow in (True, False))
+    assert a.dtypes == b.dtypes
+    for x, y in zip(a.orderBy("seq_num").collect(), b.orderBy("seq_num").collect(), strict=True):
+        assert x == y
+    some = decode(table, fields=("payload", "src_ip_str"), **options)
+    assert some.columns == [*table.columns, "src_ip_str", "payload"] and some.count() == table.count()
+
+
 def test_tags(spark):
     inner = T.ipv4("1.2.3.4", "5.6.7.8", 17, T.udp(5, 6, b"x"))
     assert one(spark, T.ethernet(inner, tags=((0x8100, 10),))).dst_port == 6
