@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import store
+from .kernel import only
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
@@ -87,7 +87,7 @@ class Shared:
 
     @property
     def value(self):
-        known = store().setdefault("shared", {})
+        known = only("shared").setdefault("shared", {})
         if self.name not in known:
             known.clear()  # a worker mostly serves one query after another
             known[self.name] = cloudpickle.loads(self.held.value)

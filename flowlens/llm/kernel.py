@@ -44,6 +44,14 @@ def store() -> dict:
     return sys.__dict__.setdefault("_flowlens_llm", {})
 
 
+def only(name: str | None = None) -> dict:
+    """The cache, without what operators but the named one have left in it: workers live for many stages."""
+    held = store()
+    for k in [k for k in held if (k if isinstance(k, str) else k[0]) != name]:
+        del held[k]
+    return held
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = h ^ (h >> np.uint64(30))

@@ -48,9 +48,9 @@ WORDS, REGISTERS, ROWS = 5, 100, 5
 #: Links (of two 16-byte names) that one task may join to components. Beyond, components are found in star steps.
 SMALL = 20_000
 #: Nodes, and bytes of their compressed texts, in a part of a bucket; two parts make a block.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Bytes of multisets that a block keeps parsed.
-PARSED = 64 << 20
+PARSED = 32 << 20
 
 
 # --- multisets and signatures ----------------------------------------------------
@@ -125,6 +125,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _sign(size: int, registers: int, rows: int):
     def run(batches):
+        K.only()
         for batch in batches:
             n = batch.num_rows
             data, offsets = K.flat(batch.column(3))
@@ -186,6 +187,7 @@ def _verify(size: int, threshold: float, registers: int = REGISTERS):
                 if name != last:
                     last, mine = name, _multiset(x, size, body)
                 keep[k] = similarity(mine, _multiset(y, size, body)) >= threshold
+            K.tidy()
             yield batch.filter(pa.array(keep)).select([c for c in batch.schema.names if c not in ("x", "y")])
 
     return run
@@ -243,6 +245,8 @@ def _blocks(size: int, threshold: float, registers: int = REGISTERS):
                     boss[a] = b
                     us.append(node[i])
                     vs.append(node[j])
+        held.clear()
+        K.tidy()
         return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
     return run

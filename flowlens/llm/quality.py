@@ -40,6 +40,7 @@ def _flags(chars: bytes) -> np.ndarray:
 
 
 def _measure(batches):
+    K.only()
     symbol, stop, digit = _flags(SYMBOLS), _flags(b".!?"), _flags(b"0123456789")
     upper, letter = _flags(bytes(range(0x41, 0x5B))), _flags(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]))
     point = np.ones(256, bool)

@@ -60,7 +60,7 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 BLOCK_IDS = 1024
 #: Ids that are encoded at once, and parts of texts that a worker remembers.
-RUN, MEMO = 1 << 18, 600_000
+RUN, MEMO = 1 << 18, 400_000
 #: Ids of a file, about; bytes of text of a task at most and at least, but for skewed ranges.
 FILE_IDS, MOST_BYTES, LEAST_BYTES = 1 << 26, 256 << 20, 4 << 20
 
@@ -352,8 +352,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> list[
     def run(batches):
         files, base = pafs.FileSystem.from_uri(folder)
         part, number, writer, out, name = TaskContext.get().partitionId(), 0, None, None, ""
-        encoder = K.store().get(("parts", tokenizer)) or PartEncoder(tokenizer)
-        K.store()["parts", tokenizer] = encoder
+        held = K.only("parts")
+        encoder = held.get(("parts", tokenizer)) or PartEncoder(tokenizer)
+        held["parts", tokenizer] = encoder
 
         def closed():
             n_docs, n_ids = writer.close()
