@@ -361,13 +361,13 @@ def rule_hits(spark, sf):
     return rp.rule_hits(_judged(spark, sf), ru.parse(RULES))
 
 
-@query(f"{_WITH}, nets AS (SELECT (s_suppkey * 3 % 224) << 24 | (s_suppkey % 7) << 16 AS lo, 8 + s_suppkey % 17 AS bits FROM supplier) SELECT DISTINCT seq_num FROM q JOIN nets ON (dip >> (32 - bits)) = (lo >> (32 - bits)) OR (sip >> (32 - bits)) = (lo >> (32 - bits))")
+@query(f"{_WITH}, nets AS (SELECT {203 << 24} | (s_suppkey % 256) << 8 | s_suppkey * 37 % 256 AS lo, 16 + s_suppkey % 17 AS bits FROM supplier) SELECT DISTINCT seq_num FROM q JOIN nets ON (dip >> (32 - bits)) = (lo >> (32 - bits)) OR (sip >> (32 - bits)) = (lo >> (32 - bits))")
 def rule_many_networks(spark, sf):
     """A rule for each supplier: more than are folded into one predicate."""
     rules = ru.RuleSet()
     for r in _read(spark, sf, "supplier").select("s_suppkey").collect():  # configuration
         k = r[0]
-        rules.add_ip(f"{k * 3 % 224}.{k % 7}.0.0/{8 + k % 17}")
+        rules.add_ip(f"203.0.{k % 256}.{k * 37 % 256}/{16 + k % 17}")
     return ru.network_rule(_packets(spark, sf), rules).where("net_rule IS NOT NULL").select("seq_num")
 
 
