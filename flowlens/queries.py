@@ -361,7 +361,7 @@ def rule_hits(spark, sf):
     return rp.rule_hits(_judged(spark, sf), ru.parse(RULES))
 
 
-@query(f"{_WITH}, nets AS (SELECT {203 << 24} | (s_suppkey % 256) << 8 | s_suppkey * 37 % 256 AS lo, 16 + s_suppkey % 17 AS bits FROM supplier) SELECT DISTINCT seq_num FROM q JOIN nets ON (dip >> (32 - bits)) = (lo >> (32 - bits)) OR (sip >> (32 - bits)) = (lo >> (32 - bits))")
+@query(f"{_WITH}, nets AS (SELECT {203 << 24} + (s_suppkey % 256) * 256 + s_suppkey * 37 % 256 AS lo, 16 + s_suppkey % 17 AS bits FROM supplier) SELECT DISTINCT seq_num FROM q JOIN nets ON (dip >> (32 - bits)) = (lo >> (32 - bits)) OR (sip >> (32 - bits)) = (lo >> (32 - bits))")
 def rule_many_networks(spark, sf):
     """A rule for each supplier: more than are folded into one predicate."""
     rules = ru.RuleSet()
