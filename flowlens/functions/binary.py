@@ -43,8 +43,8 @@ def u32(data: Column, offset: Place) -> Column:
 
 
 def be(value: Column, size: int) -> Column:
-    """A number as size big-endian bytes."""
-    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * size, "0"))
+    """A number as size (1 to 7) big-endian bytes, the lowest that it has."""
+    return F.unhex(F.lpad(F.hex(value.cast("bigint").bitwiseAND((1 << 8 * size) - 1)), 2 * size, "0"))
 
 
 def swap32(value: Column) -> Column:
