@@ -235,13 +235,14 @@ def _cut_bits(ip: Column, bits: int) -> Column:
 
 
 def _numbered(column: Column, values: list, first: int) -> Column:
-    """The number of the rule that a value equals, null if none."""
+    """The number of the rule that a value equals, null if none. Numbers are looked up as BIGINT."""
     if not values:
         return F.lit(None).cast("int")
     table: dict = {}
     for k, v in enumerate(values, first):
         table.setdefault(v, k)
-    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[column]
+    key = lambda v: F.lit(v).cast("long") if isinstance(v, int) else F.lit(v)
+    return F.create_map(*(x for v, k in table.items() for x in (key(v), F.lit(k))))[column]
 
 
 def domain_rule(host: Column, rules: RuleSet, normalise_case: bool = True) -> Column:
@@ -257,7 +258,7 @@ def verdicts(packets: DataFrame, rules: RuleSet, key: tuple[str, ...] = KEY, nor
     address or port is, and of an application of its own. With what was found in it they tell from which packet on it is blocked.
     """
     ok = F.col("parse_status") == "ok" if "parse_status" in packets.columns else F.lit(True)
-    port = _numbered(F.col("dst_port"), rules.ports, rules.first("port"))
+    port = _numbered(F.col("dst_port").cast("long"), rules.ports, rules.first("port"))
     held = network_rule(packets, rules).withColumn("static", F.when(ok, F.coalesce("net_rule", port))).drop("net_rule")
     good = held.where(ok)
     at = F.when(F.col("static").isNotNull(), F.col("seq_num"))
