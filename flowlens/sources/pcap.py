@@ -12,9 +12,10 @@ pyarrow's file systems, so they may be URIs.
 
 ``seq_num`` is one order over all files: the file's rank times 2 ** FILE_BITS, and
 the record's number in it, from 1. A batch ranks files by the time of their first record,
-then by name; a stream by name, as it can't know what is still to come. So rotated
+then by name, or with the option ``order`` = ``name`` by name alone, for files that are numbered and whose
+clock may go back; a stream by name, as it can't know what is still to come. So rotated
 captures are one sequence, as one file would be. The writer takes a partition's
-rows as they come; ``save`` sorts them by seq_num before.
+rows as they come, into files that are numbered by partition; ``save`` sorts them by seq_num before.
 """
 
 from __future__ import annotations
@@ -134,9 +135,13 @@ class File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.max_incl = options["path"], int(options.get("maxIncl", MAX_INCL))
+        self.order = options.get("order", "time")
+        if self.order not in ("time", "name"):
+            raise ValueError(f"order is time or name, not {self.order}")
 
     def partitions(self) -> list[File]:
-        return [File(p, self.max_incl, k) for k, p in enumerate(in_order(list_files(self.path)))]
+        files = list_files(self.path)
+        return [File(p, self.max_incl, k) for k, p in enumerate(in_order(files) if self.order == "time" else files)]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
         return batches(partition.path, partition.max_incl, partition.rank)
