@@ -63,6 +63,8 @@ BLOCK_IDS = 1024
 RUN, MEMO = 1 << 18, 400_000
 #: Ids of a file, about; bytes of text of a task at most and at least, but for skewed ranges.
 FILE_IDS, MOST_BYTES, LEAST_BYTES = 1 << 26, 256 << 20, 4 << 20
+#: Ids that a task reads back at least, if there are tasks for all cores.
+READ_IDS = 1 << 23
 
 
 def bit_widths(ids: np.ndarray) -> np.ndarray:
@@ -391,12 +393,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> list[
     return [{"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "start": s} for r, s in zip(rows, starts, strict=False)]
 
 
-def read(spark: SparkSession, manifest: list[dict], folder: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in the files, a task for each file."""
-    shards = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
-    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])]
+def readers(files: int, ids: int, cores: int) -> int:
+    """Into how many tasks files are dealt out to be read back: one for each core, more if each had more than READ_IDS ids, but none without a file."""
+    return max(1, min(files, max(cores, math.ceil(ids / READ_IDS))))
+
+
+def _read(folder: str, schema: pa.Schema):
+    """For mapInArrow: the documents of the files (name, start), with their ids if schema has these."""
 
     def run(batches):
+        K.only()  # what the encoder remembers isn't needed any more
+        K.tidy()
         files, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -414,13 +421,21 @@ def read(spark: SparkSession, manifest: list[dict], folder: str, with_ids: bool
                             pa.array(shard.counts[a:b]),
                             pa.array([zlib.crc32(low[p:q]) for p, q in itertools.pairwise(at)], pa.int64()),
                         ]
-                        if with_ids:
+                        if "ids" in schema.names:
                             columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
-                        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
                         a = b
 
+    return run
+
+
+def read(spark: SparkSession, manifest: list[dict], folder: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in the files, a task for some whole files."""
+    shards = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
+    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shards.repartition(max(1, len(manifest))).mapInArrow(run, schema)
+    n = readers(len(manifest), sum(m["n_ids"] for m in manifest), spark.sparkContext.defaultParallelism)
+    return shards.repartition(n).mapInArrow(_read(folder, pa.schema(kinds)), schema)
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, folder: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -279,6 +279,20 @@ def test_files_hold_all_documents_in_order(spark, tmp_path):
     assert tokenbin.encode_corpus(H.documents(spark, []), TOKENIZER, str(tmp_path / "none")).count() == 0
 
 
+def test_a_worker_forgets_its_encoder_before_it_reads_back(spark, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    manifest = tokenbin.write(H.documents(spark, H.ROWS), TOKENIZER, folder)
+    asked = pa.RecordBatch.from_pylist([{"name": m["name"], "start": m["start"]} for m in manifest])
+    names = ("doc_id", "start", "n_tokens", "ids_crc32")
+    kernel.store()["parts", TOKENIZER] = "what it remembers"
+    got = pa.Table.from_batches(tokenbin._read(folder, pa.schema([(c, pa.int64()) for c in names]))(iter([asked])))
+    assert not kernel.store() and got.num_rows == len(H.ROWS) and sum(got["n_tokens"].to_pylist()) == sum(m["n_ids"] for m in manifest)
+
+
+def test_small_files_share_tasks():
+    assert [tokenbin.readers(*x) for x in ((0, 0, 6), (1, 10, 6), (51, 10, 6), (51, 17 << 23, 6), (51, (17 << 23) + 1, 6), (51, 99 << 23, 6))] == [1, 1, 6, 17, 18, 51]
+
+
 def test_shards_are_bounded_and_ties_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenbin, "FILE_IDS", 50_000)
     table = [(k % 3 if k % 5 else None, f"text {k} " * (k % 40 * 40)) for k in range(400)]
