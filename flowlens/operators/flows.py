@@ -51,10 +51,11 @@ def flow_bytes() -> Column:
 
 
 def aggregate(packets: DataFrame, key: tuple[str, ...] = KEY, size: Column | None = None, extra: list[Column] | None = None) -> DataFrame:
-    """A row for each flow: packets, bytes, first and last time in order of arrival."""
+    """A row for each flow: packets, bytes, first and last time in order of arrival, of packets that have one."""
     size = flow_bytes() if size is None else size
+    timed = F.when(F.col("ts_us").isNotNull(), F.col("seq_num"))
     return packets.groupBy(*key).agg(
-        F.count("*").alias("pkt_count"), F.sum(size).alias("byte_count"), F.min_by("ts_us", "seq_num").alias("first_us"), F.max_by("ts_us", "seq_num").alias("last_us"), *(extra or [])
+        F.count("*").alias("pkt_count"), F.sum(size).alias("byte_count"), F.min_by("ts_us", timed).alias("first_us"), F.max_by("ts_us", timed).alias("last_us"), *(extra or [])
     )
 
 

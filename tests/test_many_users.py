@@ -35,7 +35,7 @@ def test_ports_beyond_16_bits(spark, many, name):
 
 
 #: Queries held against SQL on users whose ports need more than 32 bits.
-FAR = ["verdict_reason"]
+FAR = ["verdict_reason", "flow_agg"]
 #: Added to user ids: about 32 bits, at the port of a rule in the lowest bits of either half, and up to 48 bits.
 FAR_SHIFTS = (2**32 - 40_000 - 7, 10**8 * 59, (6_999 << 32) + 6_999 - 40_000 - 9, 2**48 - 40_000 - 1_500)
 
@@ -73,3 +73,11 @@ def test_ports_beyond_48_bits_are_refused(spark, sf, tmp_path):
     folder = changed(sf, tmp_path, f"SELECT * REPLACE (user_id + {2**48} AS user_id) FROM few")
     with pytest.raises(Exception, match="no room for the port of user"):
         entry.queries()["decode_tcp"](spark, folder).collect()
+
+
+def test_flows_of_events_before_1970(spark, sf, tmp_path):
+    compared(spark, changed(sf, tmp_path, "SELECT * REPLACE (ts - INTERVAL 80 YEAR AS ts) FROM few"), "flow_agg")
+
+
+def test_flows_of_events_without_time(spark, sf, tmp_path):
+    compared(spark, changed(sf, tmp_path, "SELECT * REPLACE (CASE WHEN event_id % 5 > 0 THEN ts END AS ts) FROM few"), "flow_agg")
