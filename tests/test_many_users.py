@@ -35,7 +35,7 @@ def test_ports_beyond_16_bits(spark, many, name):
 
 
 #: Queries held against SQL on users whose ports need more than 32 bits.
-FAR = ["verdict_reason", "flow_agg", "flow_app_upgrade", "flow_sessions", "rule_port_anti", "stage_breakdown", "sticky_block", "bottleneck"]
+FAR = ["verdict_reason", "flow_agg", "flow_app_upgrade", "flow_sessions", "rule_port_anti", "stage_breakdown", "sticky_block", "bottleneck", "canonical_key"]
 #: Added to user ids: about 32 bits, at the port of a rule in the lowest bits of either half, and up to 48 bits.
 FAR_SHIFTS = (2**32 - 40_000 - 7, 10**8 * 59, (6_999 << 32) + 6_999 - 40_000 - 9, 2**48 - 40_000 - 1_500)
 
